@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import mixing, packing, sitelines, splitting
+from corpusloom.llm import encoding, mixing, packing, sitelines, splitting
 from corpusloom.llm.tokens import with_tokens
 from corpusloom.sources.tables import table
 
@@ -18,6 +18,22 @@ def limit_of(spark: SparkSession, d: str, name: str) -> tuple[int, int]:
     return int(r[0]), int(r[1] or 0)
 
 
+def records(spark: SparkSession, d: str, page_col: str = "content") -> DataFrame:
+    """(record_kind, record_id, body): all pages and texts."""
+    pages = table(spark, d, "pages").select(F.lit("page").alias("record_kind"), F.col("page_id").alias("record_id"), F.col(page_col).alias("body"))
+    return pages.unionByName(table(spark, d, "text_out").select(F.lit("text").alias("record_kind"), F.col("text_id").alias("record_id"), F.col("extracted_text").alias("body")))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    r = records(spark, d)
+    return encoding.examine(r, "body", encoding.train(r, "body"))
+
+
+def p1_restored(spark: SparkSession, d: str) -> DataFrame:
+    r = records(spark, d)
+    return encoding.examine(r, "body", encoding.train(r, "body"), restore=True)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return sitelines.repeated_lines(table(spark, d, "text_out")).select(F.col("id").alias("text_id"), "line_no")
 
@@ -59,4 +75,4 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split(table(spark, d, "documents"), *limit_of(spark, d, "piece"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_clean, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p4_found, p4_clean, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_pieces)}
