@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import encoding, mixing, packing, sitelines, splitting
+from corpusloom.llm import encoding, language, mixing, packing, sitelines, splitting
 from corpusloom.llm.tokens import with_tokens
 from corpusloom.sources.tables import table
 
@@ -34,6 +34,22 @@ def p1_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.examine(r, "body", encoding.train(r, "body"), restore=True)
 
 
+def _classified(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of all texts with their languages; garbled texts are judged by their original."""
+    texts = table(spark, d, "text_out").select("text_id", "lang", "extracted_text")
+    dictionaries = language.train(texts)
+    restored = encoding.examine(texts, "extracted_text", encoding.train(texts, "extracted_text"), restore=True)
+    return language.classify(restored, dictionaries)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.misfits(_classified(spark, d)).withColumnRenamed("id", "text_id")
+
+
+def p3_segments(spark: SparkSession, d: str) -> DataFrame:
+    return language.segments(_classified(spark, d)).withColumnRenamed("id", "text_id")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return sitelines.repeated_lines(table(spark, d, "text_out")).select(F.col("id").alias("text_id"), "line_no")
 
@@ -75,4 +91,4 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split(table(spark, d, "documents"), *limit_of(spark, d, "piece"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p4_found, p4_clean, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p3_found, p3_segments, p4_found, p4_clean, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_pieces)}
