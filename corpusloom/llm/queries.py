@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import encoding, language, mixing, packing, sitelines, splitting
+from corpusloom.llm import encoding, language, mixing, packing, residue, sitelines, spam, splitting
 from corpusloom.llm.tokens import with_tokens
 from corpusloom.sources.tables import table
 
@@ -59,6 +59,24 @@ def p4_clean(spark: SparkSession, d: str) -> DataFrame:
     return sitelines.without_lines(texts, sitelines.repeated_lines(texts)).select("text_id", "extracted_text")
 
 
+def _sited(spark: SparkSession, d: str) -> DataFrame:
+    """(record_kind, record_id, site, url, body): all pages and texts with their site."""
+    pages = table(spark, d, "pages").select(F.lit("page").alias("record_kind"), F.col("page_id").alias("record_id"), F.col("base_domain").alias("site"), "url", F.col("content").alias("body"))
+    return pages.unionByName(table(spark, d, "text_out").select(F.lit("text").alias("record_kind"), F.col("text_id").alias("record_id"), F.col("base_domain").alias("site"), "url", F.col("extracted_text").alias("body")))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(_sited(spark, d))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam(_sited(spark, d)).filter("spam").select("record_kind", "record_id")
+
+
+def p7_scores(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam(_sited(spark, d))
+
+
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
     sized = with_tokens(table(spark, d, "documents").select("doc_id", "text"))
     return packing.pack(sized, limit_of(spark, d, "container")[0])
@@ -91,4 +109,4 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split(table(spark, d, "documents"), *limit_of(spark, d, "piece"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p3_found, p3_segments, p4_found, p4_clean, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p3_found, p3_segments, p4_found, p4_clean, p6_found, p7_found, p7_scores, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_pieces)}
