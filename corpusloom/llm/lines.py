@@ -135,7 +135,7 @@ def describe(kind: str, site: str, body: str | None, filler: frozenset, cues) ->
             ratios.append(len(own) / n)
             entropies.append(-sum(v / n * log2(v / n) for v in own.values()) / log2(n))
     mean = lambda v: int(1000 * sum(v) / len(v)) if v else 1000
-    top = sum(n for _, n in count.most_common(3)) * 1000 // max(1, total)
+    top = sum(n for _, n in Counter({w: n for w, n in count.items() if len(w) > 2 or _CJK.match(w)}).most_common(3)) * 1000 // max(1, total)
     linked = [kind == "page" and n >= 0.8 * len(x) and len(x) > 30 for _, x, n in rows] + [False]
     out = [(0, 0, top, sum(map(len, _WORD.findall(whole))), total, mean(ratios), mean(entropies), sum(r[2] for r in rows), max(range(len(votes)), key=votes.__getitem__), len(rows))]
     for k, ((no, x, links), ws) in enumerate(zip(rows, words)):
