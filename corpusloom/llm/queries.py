@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import encoding, language, mixing, packing, residue, sitelines, spam, splitting
+from corpusloom.llm import boilerplate, encoding, language, mixing, packing, residue, sitelines, spam, splitting
 from corpusloom.llm.tokens import with_tokens
 from corpusloom.sources.tables import table
 
@@ -34,6 +34,15 @@ def p1_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.examine(r, "body", encoding.train(r, "body"), restore=True)
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.boilerplate_lines(table(spark, d, "text_out"), boilerplate.train(table(spark, d, "pages"))).withColumnRenamed("id", "text_id")
+
+
+def p2_main(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages")
+    return boilerplate.main_body(pages, boilerplate.train(pages)).withColumnRenamed("id", "page_id")
+
+
 def _classified(spark: SparkSession, d: str) -> DataFrame:
     """The lines of all texts with their languages; garbled texts are judged by their original."""
     texts = table(spark, d, "text_out").select("text_id", "lang", "extracted_text")
@@ -109,4 +118,4 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split(table(spark, d, "documents"), *limit_of(spark, d, "piece"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p3_found, p3_segments, p4_found, p4_clean, p6_found, p7_found, p7_scores, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_main, p3_found, p3_segments, p4_found, p4_clean, p6_found, p7_found, p7_scores, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_pieces)}
