@@ -162,7 +162,7 @@ SELECT host, url_norm, min(rnk) AS rnk FROM n WHERE {netloc('url_norm')} = host
     "url_outcome": f"SELECT page_id, url, outcome FROM ({OUT})",
     "crawl_closure": f"WITH RECURSIVE {EDGES}, r AS (SELECT '/c/1' AS url UNION SELECT e.dst FROM r JOIN edges e ON e.src = r.url) SELECT url FROM r",
     "bfs_depth": f"WITH RECURSIVE {EDGES}, r AS (SELECT '/c/1' AS url, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN edges e ON e.src = r.url WHERE r.depth < 12) SELECT url, min(depth) AS depth FROM r GROUP BY url",
-    "multi_domain_crawl": f"""WITH RECURSIVE {HREFS}, {RESOLVED}, {PAGES}, {NORM}, {CORPUS}, s AS (SELECT {netloc('u')} AS netloc, arg_min(u, page_id) AS u FROM pn GROUP BY 1),
+    "multi_domain_crawl": f"""WITH RECURSIVE {HREFS.replace('html_content', 'content')}, {RESOLVED}, {PAGES}, {NORM}, {CORPUS}, s AS (SELECT {netloc('u')} AS netloc, arg_min(u, page_id) AS u FROM pn GROUP BY 1),
 hop AS (SELECT c.u AS src, l.netloc, l.norm_url AS dst FROM corpus c JOIN links l ON l.page_id = c.page_id WHERE {netloc('l.norm_url')} = l.netloc AND NOT {excluded('l.norm_url')}),
 r AS (SELECT netloc, u AS url FROM s UNION SELECT h.netloc, h.dst FROM r JOIN hop h ON h.src = r.url) SELECT netloc, count(DISTINCT url) AS visited FROM r GROUP BY 1""",
     "crawl_stats": f"""WITH o AS ({OUT}), j AS (SELECT {netloc('o.url')} AS netloc, o.outcome, strlen(p.content) AS n FROM o JOIN pages p USING (page_id))
