@@ -9,7 +9,6 @@ from typing import NamedTuple
 _DROP = re.compile(r"<!--.*?-->|<(script|style|noscript|template|title|head)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _HEAD = re.compile(r"\A.*?<body\b[^>]*>", re.S | re.I)
 _TOKEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>|([^<]+)|<")
-_SPACE = re.compile(r"[ \t\r\n\f]+")
 _ROLE = re.compile(r"role\s*=\s*[\"']?(\w+)|\bhref\s*=", re.I)
 _CLASS = re.compile(r"\bclass\s*=\s*[\"']?([\w -]+)", re.I)
 BLOCK = frozenset("address article aside blockquote body br button caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr legend li main nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
@@ -44,8 +43,16 @@ def blocks(html: str | None) -> list[Block]:
 
     def flush() -> None:
         nonlocal links
-        text = _SPACE.sub(" ", unescape("".join(parts))).strip()
+        if not parts:
+            return
+        text = "".join(parts)
         parts.clear()
+        if text.isspace():
+            links = 0
+            return
+        if "&" in text:
+            text = unescape(text)
+        text = " ".join(text.split())
         if text:
             out.append(Block(text, stack[-1][0], min(links, len(text)), tuple(s[1] for s in stack), frozenset(s[2] for s in stack if s[2]), stack[-1][3]))
         links = 0
@@ -54,8 +61,8 @@ def blocks(html: str | None) -> list[Block]:
         close, tag, rest, text = m.group(1, 2, 3, 4)
         if text is not None:
             parts.append(text)
-            if depth_a and not text.isspace():
-                links += len(text)
+            if depth_a:
+                links += len(text.strip())
             continue
         if tag is None:
             parts.append("<")

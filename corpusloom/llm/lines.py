@@ -37,7 +37,10 @@ _CJK_FUNCTION = frozenset("的了在是和有不这那一也被把从到与很
 _FUNCTION = frozenset(w for ws in FUNCTION_WORDS.values() for w in ws.split())
 _WORD = re.compile(r"[^\W\d_]+")
 _CJK = re.compile("[぀-ヿ㐀-鿿]")
-_DIGITS = re.compile(r"\d+")
+_VARIES, _DIGIT = re.compile(r"[\d/\[]"), re.compile(r"\d")
+#: Lines longer than this aren't masked: messages and set phrases are short.
+MASKED = 240
+_KANA = re.compile("[぀-ヿ]")
 _HOST = re.compile(r"\b[\w-]+(?:\.[\w-]+)+(?:/\S*)?|https?://\S+|#\w+")
 #: Forms of an unfilled slot: a short name in any of the brackets that template languages use.
 _NAME = r"[ \t]*[^\W\d_][\w .-]{0,28}[ \t]*|[ \t]*\d{1,3}[ \t]*"
@@ -74,11 +77,11 @@ def hash64(s: str) -> int:
     return (crc32(b) << 31) ^ crc32(b, 0x9E3779B9) ^ (len(b) << 7)
 
 
-def mask(line: str, site: str) -> str:
-    """A line without what varies between uses of one template: numbers, codes, paths and the site's own name."""
-    s = re.sub(r"\[[^\[\]]{1,16}\]|/\S+|\S*\d\S*", " ", line.lower())
-    host = re.sub(r"[\d.-]+", "", site.lower())
-    return " ".join(w for w in _WORD.findall(s) if len(w) < 4 or w not in host)
+def mask(low: str, host: str) -> str:
+    """A line in lower case without what varies between uses of one template: numbers, codes, paths and the site's own name."""
+    if _VARIES.search(low):
+        low = " ".join(t for t in low.split() if t[0] != "/" and not (t[0] == "[" and t[-1] == "]") and not _DIGIT.search(t))
+    return " ".join([w for w in _WORD.findall(low) if len(w) < 4 or w not in host])
 
 
 def slot_share(line: str) -> float:
@@ -97,67 +100,88 @@ def lines_of(kind: str, body: str | None) -> list[tuple[int, str, int]]:
         return []
     if kind == "page":
         return [(k + 1, b.text, b.links) for k, b in enumerate(blocks(body))]
-    return [(k + 1, x.strip(), sum(len(m[0]) for m in _HOST.finditer(x))) for k, x in enumerate(body.split("\n")) if x.strip()]
-
-
-def describe(kind: str, site: str, body: str | None, filler: frozenset, cues) -> list[tuple]:
-    """Rows of SCHEMA from ``no`` on, of one record.
+    return [(k + 1, x.strip(), sum(len(m[0]) for m in _HOST.finditer(x)) if "." in x or "#" in x else 0) for k, x in enumerate(body.split("\n")) if x.strip()]
+
+
+def line_facts(x: str, host: str, filler: frozenset, cues) -> tuple:
+    """What depends on a line alone: (words, key, masked, letters, function words, cls, sent, words that aren't function words, CJK characters)."""
+    low = x.lower()
+    runs = _WORD.findall(low)
+    squeezed = "".join(runs)
+    cjk = 0 if low.isascii() else len(_CJK.findall(low))
+    if cjk:
+        ws = [p for w in runs for p in ([w[i : i + 2] for i in range(len(w) - 1)] if len(w) > 1 and _CJK.match(w) else (w,))]
+    else:
+        ws = runs
+    letters = len(squeezed)
+    rest = [w for w in ws if w not in _FUNCTION]
+    func = len(ws) - len(rest) + (sum(c in _CJK_FUNCTION for c in x) if cjk * 2 > letters else 0)
+    own = len(set(ws))
+    cls = 0
+    if slot_share(x) >= 0.35:
+        cls = 1
+    elif len(ws) >= 4 and (own <= 3 and len(ws) >= 4 * own or filler and sum(w in filler for w in ws) >= 0.8 * len(ws)):
+        cls = 2
+    elif cues(x):
+        cls = 3
+    elif len(squeezed) > 3 and squeezed in host:
+        cls = 5
+    sent = int(len(ws) >= 5 and func >= 0.1 * len(ws) and own * 3 > min(len(ws), WINDOW))
+    key = hash64(squeezed)
+    return ws, key, hash64(mask(low, host)) if len(x) <= MASKED else key, letters, func, cls, sent, rest, cjk
+
+
+def describe(kind: str, site: str, body: str | None, filler: frozenset, cues, known: dict | None = None) -> list[tuple]:
+    """Rows of SCHEMA from ``no`` on, of one record. ``known`` keeps what depends on a line alone.
 
     The first has no 0 and is of the whole record, in thousandths: masked the share of its three most frequent words that aren't function words, func the
     share of distinct words and recur the entropy against the most possible, both the mean over windows of ``WINDOW`` words; sent its lines, cls its
-    language as a place in ``LANGS``, by its function words. Of lines, cls: 1 slots left unfilled, 2 filler, 3 a message of an error or a demand, 5 the site's name, 6 the heading of a list of links,
-    0 other. recur: words, other than function words, that
-    the record has four times or more. sent: whether the line reads as a sentence.
+    language as a place in ``LANGS``, by its function words. Of lines, cls: 1 slots left unfilled, 2 filler, 3 a message of an error or a demand, 5 the site's name,
+    6 the heading of a list of links, 0 other. recur: words, other than function words, that the record has four times or more. sent: whether the line
+    reads as a sentence.
     """
     rows = lines_of(kind, body)
     if not rows:
         return []
-    words = [tokens(x) for _, x, _ in rows]
-    count = Counter(w for ws in words for w in ws if w not in _FUNCTION)
+    known = {} if known is None else known
     host = re.sub(r"[\W\d_]+", "", site.lower())
-    every = Counter(w for ws in words for w in ws)
-    total = sum(every.values())
+    facts = []
+    for _, x, _ in rows:
+        if (f := known.get((site, x))) is None:
+            f = line_facts(x, host, filler, cues)
+            if len(x) < 400:
+                if len(known) > 50_000:
+                    known.clear()
+                known[(site, x)] = f
+        facts.append(f)
+    flow = [w for f in facts for w in f[0]]
+    every = Counter(flow)
+    total = len(flow)
+    count = {w: n for w, n in every.items() if w not in _FUNCTION}
     votes = [0] * len(LANGS)
     for w, n in every.items():
         for k in _LANGS_OF.get(w, ()):
             votes[k] += n
-    whole = "".join(x for _, x, _ in rows)
-    if _CJK.search(whole) and len(_CJK.findall(whole)) * 3 > len(whole):
-        votes[LANGS.index("ja" if re.search("[぀-ヿ]", whole) else "zh")] += total
-    flow = [w for ws in words for w in ws]
+    letters, cjk = sum(f[3] for f in facts), sum(f[8] for f in facts)
+    if cjk * 3 > letters:
+        votes[LANGS.index("ja" if any(_KANA.search(x) for _, x, _ in rows) else "zh")] += total
     # windows, so that the figures don't depend on the length of the record; a short rest joins the last
     cuts = [*range(0, max(1, total - WINDOW // 2), WINDOW), total]
     ratios, entropies = [], []
-    for x, y in zip(cuts, cuts[1:]):
-        own = Counter(flow[x:y])
-        n = y - x
+    for a, b in zip(cuts, cuts[1:]):
+        own, n = Counter(flow[a:b]), b - a
         if n > 1:
             ratios.append(len(own) / n)
-            entropies.append(-sum(v / n * log2(v / n) for v in own.values()) / log2(n))
+            entropies.append((log2(n) - sum(v * log2(v) for v in own.values() if v > 1) / n) / log2(n))
     mean = lambda v: int(1000 * sum(v) / len(v)) if v else 1000
-    top = sum(n for _, n in Counter({w: n for w, n in count.items() if len(w) > 2 or _CJK.match(w)}).most_common(3)) * 1000 // max(1, total)
+    top = sum(sorted((n for w, n in count.items() if len(w) > 2 or _CJK.match(w)), reverse=True)[:3]) * 1000 // max(1, total)
+    often = {w for w, n in count.items() if n >= 4}
     linked = [kind == "page" and n >= 0.8 * len(x) and len(x) > 30 for _, x, n in rows] + [False]
-    out = [(0, 0, top, sum(map(len, _WORD.findall(whole))), total, mean(ratios), mean(entropies), sum(r[2] for r in rows), max(range(len(votes)), key=votes.__getitem__), len(rows))]
-    for k, ((no, x, links), ws) in enumerate(zip(rows, words)):
-        cjk = len(_CJK.findall(x))
-        letters = sum(map(len, _WORD.findall(x)))
-        func = sum(w in _FUNCTION for w in ws) + (sum(c in _CJK_FUNCTION for c in x) if cjk * 2 > letters else 0)
-        recur = sum(count.get(w, 0) >= 4 for w in ws if w not in _FUNCTION)
-        own = set(ws)
-        squeezed = "".join(_WORD.findall(x.lower()))
-        cls = 0
-        if slot_share(x) >= 0.35:
-            cls = 1
-        elif len(ws) >= 4 and (len(own) <= 3 and len(ws) >= 4 * len(own) or sum(w in filler for w in ws) >= 0.8 * len(ws)):
-            cls = 2
-        elif cues(x):
-            cls = 3
-        elif linked[k + 1] and not links and len(x) < 60:
+    out = [(0, 0, top, letters, total, mean(ratios), mean(entropies), sum(r[2] for r in rows), max(range(len(votes)), key=votes.__getitem__), len(rows))]
+    for k, ((no, x, links), (ws, key, masked, n, func, cls, sent, rest, _)) in enumerate(zip(rows, facts)):
+        if linked[k + 1] and not links and len(x) < 60 and cls in (0, 5):
             cls = 6
-        elif squeezed and squeezed in host and len(squeezed) > 3:
-            cls = 5
-        sent = int(len(ws) >= 5 and func >= 0.1 * len(ws) and len(own) * 3 > min(len(ws), WINDOW))
-        out.append((no, hash64(squeezed), hash64(mask(x, site)), letters, len(ws), func, recur, links, cls, sent))
+        out.append((no, key, masked, n, len(ws), func, sum(w in often for w in rest) if often else 0, links, cls, sent))
     return out
 
 
@@ -168,11 +192,14 @@ def record_lines(records: DataFrame, filler: frozenset = frozenset(), cues=lambd
     types = [pa.int64(), pa.int64(), *[pa.int32()] * 7]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
         for b in batches:
             kinds, ids, sites, urls, bodies = (c.to_pylist() for c in b.columns)
             at, rows = [], []
+            if len(known) > 50_000:
+                known.clear()
             for k, (kind, site, body) in enumerate(zip(kinds, sites, bodies)):
-                own = describe(kind, site, body, filler, cues)
+                own = describe(kind, site, body, filler, cues, known)
                 at += [k] * len(own)
                 rows += own
             at = pa.array(at, pa.int32())

@@ -8,6 +8,7 @@ that recurs as the whole body of pages, or whose words are those of errors and d
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,12 +35,23 @@ CUES = (
     "κάτι πήγε στραβά", "is not defined", "fatal:", "request blocked", "contact the owner", "stack trace", "algo ha fallado", "qualcosa non va", "браузер", "przeglądark", "navegador", "navigateur", "your browser", "ihr browser", "im browser", "uw browser",
     "del browser", "tarayıcı", "webbläsare", "ブラウザ", "浏览器", "web server", "webmaster", "見つかりません", "エラー", "找不到页面", "页面不存在", "出错了",
 )
-_CUE = re.compile("|".join(re.escape(c) for c in CUES) + r"|^ref\. \S+$|^\W*(?:404|403|500|503|429)\b", re.I)
+_CODE = re.compile(r"^ref\. \S+$|^\W*(?:404|403|500|503|429)\b", re.I)
+
+
+@lru_cache(maxsize=1)
+def _cues():
+    import ahocorasick
+
+    a = ahocorasick.Automaton()
+    for c in CUES:
+        a.add_word(c, True)
+    a.make_automaton()
+    return a
 
 
 def message(line: str) -> bool:
     """Whether a short line has the words of an error message or a demand for scripts."""
-    return len(line) < 160 and _CUE.search(line) is not None
+    return len(line) < 160 and (next(_cues().iter(line.lower()), None) is not None or _CODE.search(line) is not None)
 
 
 def template_lines(lines: DataFrame) -> DataFrame:
