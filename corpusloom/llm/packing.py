@@ -1,8 +1,8 @@
 """Problem 8: fill containers of fixed capacity with whole items.
 
 Bounded-space online packing: every partition keeps a fixed number of open containers and places each item into the one it fills best; if
-none has room, the fullest leaves and a new one opens. What is open at the end of a partition is merged with the leftovers of
-others in rounds, each over fewer partitions, by the same rule, until one partition is left.
+none has room, the fullest leaves and a new one opens. The items of containers that are open and not full at the end of a partition are merged with the leftovers of
+others in rounds, each over fewer partitions, largest first by the same rule, until one partition is left.
 """
 
 from __future__ import annotations
@@ -14,10 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.plans.joins import BROADCAST_ROWS
 from corpusloom.plans.storage import materialize
 
 OPEN = 64
+#: An open container with less room than this share of its capacity is full at the end of a partition.
+FULL = 0.01
 #: So many partitions' leftovers come together in one partition of the next round.
 FAN_IN = 32
 
@@ -63,7 +64,7 @@ def _partition_id() -> int:
 
 
 def _place(items: DataFrame, capacity: int, slots: int, round_no: int) -> DataFrame:
-    """items (item, part, size) -> (item, part, size, box, open): box is the round, partition and number of the container; open ones may be merged further."""
+    """items (item, part, size) -> (item, part, size, box, open): box is the round, partition and number of the container; items of open ones may be placed anew."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = (round_no << 56) | (_partition_id() << 32)
@@ -82,7 +83,8 @@ def _place(items: DataFrame, capacity: int, slots: int, round_no: int) -> DataFr
                     held.setdefault(packer.add(s), []).append((item, part + k, s))
             if done := packer.take_closed():
                 yield rows(done, False)
-        yield rows([*packer.take_closed()], False)
+        full = [b for b, fill in packer.leftovers().items() if capacity - fill < FULL * capacity]
+        yield rows([*packer.take_closed(), *full], False)
         yield rows([*packer.leftovers()], True)
 
     return items.mapInArrow(run, "item long, part int, size long, box long, open boolean")
@@ -98,19 +100,16 @@ def pack(items: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str
         raise ValueError("capacity must be at least 1")
     base = items.select(F.col(id_col).cast("long").alias("item"), F.lit(0).alias("part"), F.col(size_col).cast("long").alias("size")).filter("item is not null and size > 0")
     placed = materialize(_place(base, capacity, slots, 0), "packed")
-    # (old, new) of containers merged, one table per round
-    boxes = placed.filter("open").groupBy("box").agg(F.sum("size").alias("size"))
     parts = (placed.agg(F.max(F.expr("(box >> 32) & 16777215"))).first()[0] or 0) + 1
-    out, round_no = placed.select("item", "part", "size", "box"), 0
+    out, round_no = placed.filter("not open"), 0
     while parts > 1:
         parts, round_no = -(-parts // FAN_IN), round_no + 1
-        # sorted, so a task that runs again packs alike
-        near = boxes.select(F.col("box").alias("item"), F.lit(0).alias("part"), "size").repartition(parts, F.expr(f"((item >> 32) & 16777215) % {parts}")).sortWithinPartitions(F.desc("size"), "item")
-        merged = materialize(_place(near, capacity, slots, round_no), "merged")
-        moved = merged.select(F.col("item").alias("box"), F.col("box").alias("into"))
-        left = out.join(F.broadcast(moved) if moved.count() <= BROADCAST_ROWS else moved, "box", "left")
-        out = left.select("item", "part", "size", F.coalesce("into", "box").alias("box"))
-        boxes = merged.filter("open").groupBy("box").agg(F.sum("size").alias("size"))
+        # of each partition only what it held open: a bounded number of containers. Sorted, so a task that runs again packs alike
+        near = placed.filter("open").select("item", "part", "size", (F.expr("(box >> 32) & 16777215") % parts).cast("int").alias("to"))
+        near = near.repartition(parts, "to").sortWithinPartitions(F.desc("size"), "item", "part").select("item", "part", "size")
+        placed = materialize(_place(near, capacity, slots, round_no), "merged")
+        out = out.unionByName(placed.filter("not open"))
+    out = out.unionByName(placed.filter("open"))
     return out.select(F.col("item").alias(id_col), F.col("part").alias("piece_no"), F.col("size").alias(size_col), F.col("box").alias("container_id"))
 
 
