@@ -7,9 +7,12 @@ once per application and set as the session's own. A written table cuts the line
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +31,23 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application, unless they find it where it lies: on PYTHONPATH or in the working folder."""
+    root = Path(__file__).resolve().parents[2]
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    app = spark.sparkContext.applicationId
+    if any(p and Path(p).resolve() == root for p in known) or f"code-{app}" in _LOCAL:
+        return
+    folder = tempfile.mkdtemp(prefix="corpusloom-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = f"{folder}/corpusloom.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.glob("corpusloom/**/*.py")):
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(path)  # Spark copies it to every executor
+    _LOCAL[f"code-{app}"] = path
+
+
 def materialize(df: DataFrame, name: str = "table", partitions: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: the same rows, with no lineage.
 
