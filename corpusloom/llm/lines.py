@@ -40,6 +40,8 @@ _CJK = re.compile("[぀-ヿ㐀-鿿]")
 _VARIES, _DIGIT = re.compile(r"[\d/\[]"), re.compile(r"\d")
 #: Lines longer than this aren't masked: messages and set phrases are short.
 MASKED = 240
+#: What parts the entries of a list; filler that repeats a word has none.
+_LISTED = re.compile(r"[,;|]")
 _KANA = re.compile("[぀-ヿ]")
 _HOST = re.compile(r"\b[\w-]+(?:\.[\w-]+)+(?:/\S*)?|https?://\S+|#\w+")
 #: Forms of an unfilled slot: a short name in any of the brackets that template languages use.
@@ -120,7 +122,7 @@ def line_facts(x: str, host: str, filler: frozenset, cues) -> tuple:
     cls = 0
     if slot_share(x) >= 0.35:
         cls = 1
-    elif len(ws) >= 4 and (own <= 3 and len(ws) >= 4 * own or filler and sum(w in filler for w in ws) >= 0.8 * len(ws)):
+    elif len(ws) >= 4 and (own <= 3 and len(ws) >= 4 * own and len(_LISTED.findall(x)) < 2 or filler and sum(w in filler for w in ws) >= 0.8 * len(ws)):
         cls = 2
     elif cues(x):
         cls = 3

@@ -62,9 +62,9 @@ def template_lines(lines: DataFrame) -> DataFrame:
     return seen.join(urls, ["kind", "site"]).filter(F.col("n") >= FIXED_SHARE * F.col("n_site")).select("kind", "site", "key", "masked", (F.col("n") / F.col("n_site")).alias("share"))
 
 
-def slots(lines: DataFrame) -> DataFrame:
-    """The line table without the template's fixed lines (those of the record's own site, and lines that are fixed on any other) and without entries of
-    lists of other pages.
+def slots(lines: DataFrame, entries: bool = False) -> DataFrame:
+    """The line table without the template's fixed lines (those of the record's own site, and lines that are fixed on any other) and, unless
+    ``entries``, without entries of lists of other pages.
 
     A line that is unfilled, filler or a message stays, unless it stands on a third of its site's urls and so is furniture itself.
     """
@@ -75,6 +75,8 @@ def slots(lines: DataFrame) -> DataFrame:
     odd = F.col("cls").isin(1, 2, 3)
     fixed_here = (F.col("share").isNotNull() & ~odd) | (F.coalesce("share", F.lit(0.0)) > 0.34)
     left = both.filter(~(fixed_here | (F.col("known").isNotNull() & ~odd))).drop("share", "known")
+    if entries:
+        return left
     # entries of lists of other pages fill no slot of the body: links of pages, and what follows in texts the lines that pages have as headings of such
     headings = materialize(lines.filter("cls = 6").select("masked").filter("masked <> 0").distinct(), "headings")
     at = sized_join(lines.filter("no > 0 and kind = 'text'").select("id", "no", "masked"), headings, ["masked"]).groupBy("id").agg(F.collect_set("no").alias("heads")).select(F.lit("text").alias("kind"), "id", "heads")

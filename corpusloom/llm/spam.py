@@ -22,6 +22,8 @@ DISTANCE, DIRECTION = 22.0, 2.5
 #: One of these must hold too, since text of another language than its group's lacks function words as well: the most frequent words, or links where sentences lack, stand
 #: out by so many robust standard deviations.
 TOP, LINKS, SENTENCES = 2.0, 4.0, 2.0
+#: So many lines of links make a list of them; menus have fewer.
+LISTED = 10
 #: Languages with fewer records share one estimate.
 FEW = 100
 #: Least standard deviation of a feature: below it differences mean nothing.
@@ -29,16 +31,19 @@ FLOOR = 0.04
 
 
 def features(lines: DataFrame) -> DataFrame:
-    """(kind, id, lang, f: array of FEATURES): densities of the lines that aren't the site's template, and repetition over the record's windows. Records of mostly residue
+    """(kind, id, lang, listed: number of lines of links, f: array of FEATURES): densities of the lines that aren't the site's template, and repetition over the record's windows. Records of mostly residue
     (``residue``) or with fewer than 8 words have none."""
-    own = slots(lines).groupBy("kind", "id").agg(
-        *[F.sum(c).alias(c) for c in ("letters", "words", "func", "links")], F.sum(F.col("letters") * F.col("sent")).alias("sent"), F.sum(F.when(F.col("cls").isin(1, 2, 3), F.col("letters")).otherwise(0)).alias("odd")
+    listed = (F.col("sent") == 0) & (F.col("recur") > 0) & (F.col("links") > 0)
+    own = slots(lines, entries=True).groupBy("kind", "id").agg(
+        *[F.sum(c).alias(c) for c in ("letters", "words", "func")],
+        # links to other pages read as sentences or have words that the record doesn't repeat; those of lists of products or sites do
+        F.sum(F.when(listed, F.col("links")).otherwise(0)).alias("links"), F.sum(listed.cast("int")).alias("listed"), F.sum(F.col("letters") * F.col("sent")).alias("sent"), F.sum(F.when(F.col("cls").isin(1, 2, 3), F.col("letters")).otherwise(0)).alias("odd")
     )
     whole = lines.filter("no = 0").groupBy("kind", "id").agg(F.first("cls").alias("lang"), F.max("masked").alias("top"), F.max("func").alias("distinct"), F.max("recur").alias("entropy"))
     j = own.join(whole, ["kind", "id"]).filter("words >= 8 and odd * 2 < letters")
     share = lambda a, b: F.least(F.lit(1.0), F.col(a) / F.greatest(F.col(b), F.lit(1)))
     f = [share("func", "words"), share("sent", "letters"), F.col("top") / 1000, share("links", "letters"), F.col("distinct") / 1000, F.col("entropy") / 1000]
-    return j.select("kind", "id", "lang", F.array(*[x.cast("double") for x in f]).alias("f"))
+    return j.select("kind", "id", "lang", "listed", F.array(*[x.cast("double") for x in f]).alias("f"))
 
 
 def _moments(f: DataFrame) -> dict[str, tuple[int, np.ndarray, np.ndarray]]:
@@ -107,5 +112,5 @@ def spam(records: DataFrame, distance: float = DISTANCE, direction: float = DIRE
     at = _distance(records.sparkSession, f, robust_model(f))
     place = [*FEATURES]
     z = lambda name: F.col("z")[place.index(name)]
-    marked = (z("top") > TOP) | ((z("links") > LINKS) & (z("sent") > SENTENCES))
+    marked = (z("top") > TOP) | ((z("links") > LINKS) & (z("sent") > SENTENCES) & (F.col("listed") >= LISTED))
     return at.select(F.col("kind").alias("record_kind"), F.col("id").alias("record_id"), "d2", "along", ((F.col("d2") > distance) & (F.col("along") > direction) & marked).alias("spam"))
