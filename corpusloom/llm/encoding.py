@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.plans.storage import materialize
+
 #: Single-byte encodings of the candidate chains, by the region they serve; and multi-byte ones.
 SINGLE = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp1254", "cp437", "cp850", "cp852", "cp866", "koi8-r", "koi8-u", "mac_roman", "iso8859-2", "iso8859-5", "iso8859-7", "iso8859-9", "iso8859-15")
 WIDE = ("gbk", "big5", "shift_jis", "euc_jp", "euc_kr")
@@ -28,8 +30,8 @@ MARGIN_UTF8, MARGIN_OTHER = 3.0, 6.5
 MARGIN_BESIDE, MARGIN_TOGETHER = 2.0, 11.0
 #: Words whose verdicts a worker keeps.
 KEPT = 200_000
-#: A word whose own trigrams are this likely on average isn't tried.
-PLAIN = -2.5
+#: A word isn't tried if each of its trigrams has at least this log-likelihood.
+PLAIN = -5.5
 _CUT = re.compile(r"[<>&\"=;/|()\[\]{}*_#]+")
 _BROKEN = re.compile("[\u0080-\u009f�]")
 _RARE = ("mac_roman", "cp850", "cp852", "iso8859-")
@@ -175,7 +177,7 @@ class Model:
         return out
 
     def score(self, ws: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Log-likelihood of each word, and its mean over positions."""
+        """Log-likelihood of each word, and the least over its positions."""
         if not ws:
             return np.zeros(0), np.zeros(0)
         h, starts = self.codes(ws)
@@ -189,17 +191,15 @@ class Model:
         skip[starts] = True
         skip[starts + 1] = True
         lp[skip] = 0.0
-        total = np.add.reduceat(lp, starts)
-        lens = np.diff(np.append(starts, len(lp))) - 2
-        return total, total / lens
+        return np.add.reduceat(lp, starts), np.minimum.reduceat(lp, starts)
 
 
 def judge(ws: list[str], model: Model) -> dict[str, tuple[str, str, float, bool]]:
     """Word -> (restored word, chain, log-likelihood ratio, undoes UTF-8) of its likeliest chain, for words that have one likelier than themselves."""
-    own, mean = model.score(ws)
+    own, least = model.score(ws)
     rows, cand, meta = [], [], []
     for k, w in enumerate(ws):
-        if mean[k] > PLAIN and not _BROKEN.search(w) and not _LETTERS.search(w):
+        if least[k] > PLAIN and not _BROKEN.search(w) and not _LETTERS.search(w):
             continue
         for fixed, (chain, utf8) in candidates(w).items():
             rows.append(k)
@@ -245,7 +245,7 @@ def _pairs(words_: list[str], n: list[int]) -> pa.RecordBatch:
 def word_table(records: DataFrame, text_col: str, first=None) -> DataFrame:
     """(word, n): every word with a non-ASCII character and the number of records it stands in; counted in parts before the shuffle.
 
-    With the counts of a first model, records that it finds garbled are left out.
+    With a first model (as of ``train``), records that it finds garbled are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,45 +288,82 @@ def _counts(table: DataFrame) -> np.ndarray:
     return out
 
 
+def _verdicts(table: DataFrame, counts: np.ndarray) -> dict | None:
+    """The verdicts of all words that aren't clean, if they are at most ``KEPT``; else null, and every worker judges the words it meets. Either way the verdicts are the same."""
+    shared = table.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(shared.value)
+        for b in batches:
+            for at in range(0, b.num_rows, 5000):
+                rows = [(w, *v) for w, v in verdicts_of(b.slice(at, 5000).column(0).to_pylist(), model).items()]
+                cols = [*zip(*rows)] or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.float64(), pa.bool_(), pa.bool_()))], names=["word", "fixed", "chain", "llr", "utf8", "broken"])
+
+    rows = table.select("word").mapInArrow(run, "word string, fixed string, chain string, llr double, utf8 boolean, broken boolean").limit(KEPT + 1).collect()
+    return {r["word"]: (r["fixed"], r["chain"], r["llr"], r["utf8"], r["broken"]) for r in rows} if len(rows) <= KEPT else None
+
+
 def train(records: DataFrame, text_col: str):
-    """The broadcast counts of a model trained on all clean records, in two rounds: the first takes all words that aren't suspicious by their form,
-    the second those of the records that the first model doesn't find garbled.
+    """A broadcast of the counts of a model trained on all clean records and of the verdicts on their words. There are two rounds: the first model takes all words that aren't suspicious
+    by their form, the second those of the records that the first doesn't find garbled.
 
-    At most 3 times 2**BITS numbers come to the driver, however large the corpus.
+    At most 3 times 2**BITS numbers and ``KEPT`` verdicts come to the driver, however large the corpus.
     """
     spark = records.sparkSession
-    first = spark.sparkContext.broadcast(_counts(word_table(records, text_col)))
-    return spark.sparkContext.broadcast(_counts(word_table(records, text_col, first)))
+    table = materialize(word_table(records, text_col), "words")
+    counts = _counts(table)
+    first = spark.sparkContext.broadcast((counts, _verdicts(table, counts)))
+    counts = _counts(word_table(records, text_col, first))
+    return spark.sparkContext.broadcast((counts, _verdicts(table, counts)))
+
+
+def verdicts_of(ws: list[str], model: Model) -> dict[str, tuple]:
+    """Word -> (restored word, chain, ratio, undoes UTF-8, broken) of the words that aren't clean."""
+    out = {w: (w, "", 0.0, False, True) for w in ws if _BROKEN.search(w)}
+    out.update((w, (*v, w in out)) for w, v in judge(ws, model).items())
+    return out
 
 
 class Finder:
-    """Judges words with a model and keeps the verdicts of the latest."""
+    """Judges words with a model and keeps the verdicts of the latest: null of a clean word, else (restored word, chain, ratio, undoes UTF-8, broken)."""
 
-    def __init__(self, counts: np.ndarray):
-        self.model, self.known = Model(counts), {}
+    def __init__(self, trained: tuple[np.ndarray, dict | None]):
+        """trained: a model's counts, and the verdicts of all words of the corpus that aren't clean, if these are few."""
+        counts, verdicts = trained
+        self.model, self.complete, self.known = Model(counts), verdicts is not None, verdicts or {}
 
     def learn(self, ws: set[str]) -> None:
-        new = [w for w in ws if w not in self.known]
-        if len(self.known) > KEPT:
-            self.known, new = {}, [*ws]
+        if self.complete:
+            return
+        known = self.known
+        new = [w for w in ws if w not in known]
+        if len(known) > KEPT:
+            known = self.known = {}
+            new = [*ws]
         for at in range(0, len(new), 5000):
             part = new[at : at + 5000]
-            self.known.update(dict.fromkeys(part))
-            self.known.update(judge(part, self.model))
+            known.update(dict.fromkeys(part))
+            known.update(verdicts_of(part, self.model))
 
     def fixes(self, ws: list[str]) -> tuple[bool, dict[str, str]]:
         """Whether a record with these words is garbled, and the words to put right."""
-        verdicts = {w: v for w in ws if (v := self.known[w])}
+        known = self.known
+        verdicts = {w: v for w in ws if (v := known.get(w)) is not None}
+        if not verdicts:
+            return False, {}
         sure, sums = set(), {}
-        for w, v in verdicts.items():
+        for v in verdicts.values():
+            if not v[1]:
+                continue
             if accepted(v):
                 sure.add(v[1])
             if v[2] > MARGIN_BESIDE:
                 n, x = sums.get(v[1], (0, 0.0))
                 sums[v[1]] = (n + 1, x + v[2])
         sure |= {c for c, (n, x) in sums.items() if n > 1 and x > MARGIN_TOGETHER}
-        out = {w: v[0] for w, v in verdicts.items() if accepted(v) or v[1] in sure and v[2] > MARGIN_BESIDE}
-        return bool(out) or any(_BROKEN.search(w) for w in ws), out
+        out = {w: v[0] for w, v in verdicts.items() if v[1] and (accepted(v) or v[1] in sure and v[2] > MARGIN_BESIDE)}
+        return bool(out) or any(v[4] for v in verdicts.values()), out
 
 
 def repair(text: str, fixes: dict[str, str]) -> str:
@@ -334,8 +371,8 @@ def repair(text: str, fixes: dict[str, str]) -> str:
     return _RUN.sub(lambda m: _PIECE.sub(lambda p: fixes.get(p[0], p[0]), m[0]), text) if fixes else text
 
 
-def examine(records: DataFrame, text_col: str, counts, restore: bool = False) -> DataFrame:
-    """The records that are garbled; with ``restore`` all records, ``text_col`` put right and a column ``garbled``.
+def examine(records: DataFrame, text_col: str, trained, restore: bool = False) -> DataFrame:
+    """The records that are garbled, by a model as of ``train``; with ``restore`` all records, ``text_col`` put right and a column ``garbled``.
 
     A record is garbled if a word's likeliest chain is accepted, or if it holds a replacement or C1 control character: these arise by decoding
     alone, also where the original is lost. Null and empty texts aren't garbled and stay as they are. A column ``garbled`` of the
@@ -347,7 +384,7 @@ def examine(records: DataFrame, text_col: str, counts, restore: bool = False) ->
     schema = out.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(counts.value)
+        finder = Finder(trained.value)
         for b in batches:
             texts = b.column(b.num_columns - 1).to_pylist()
             own = [words(t) if t and not t.isascii() else [] for t in texts]
