@@ -311,7 +311,8 @@ def train(records: DataFrame, text_col: str):
     At most 3 times 2**BITS numbers and ``KEPT`` verdicts come to the driver, however large the corpus.
     """
     spark = records.sparkSession
-    table = materialize(word_table(records, text_col), "words")
+    # few bytes but much work a word: as many tasks as other shuffles have
+    table = materialize(word_table(records, text_col), "words").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     counts = _counts(table)
     first = spark.sparkContext.broadcast((counts, _verdicts(table, counts)))
     counts = _counts(word_table(records, text_col, first))
