@@ -27,8 +27,10 @@ def distinct_urls(stream: DataFrame, ts: str | None = None, delay: str = "1 day"
 
 def progress_windows(events: DataFrame, ts: str, failed, width: str = "1 hour", delay: str | None = None) -> DataFrame:
     """(window_start, n, n_error) in tumbling windows; the same for a table and, with ``delay`` as watermark, for a stream."""
-    e = events.withWatermark(ts, delay) if delay else events
-    return e.groupBy(F.window(ts, width)).agg(F.count("*").alias("n"), F.count_if(failed).alias("n_error")).select(F.col("window.start").alias("window_start"), "n", "n_error")
+    kind = dict(events.dtypes)[ts]
+    # watermarks need a timestamp with time zone
+    e = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay) if delay else events
+    return e.groupBy(F.window(ts, width)).agg(F.count("*").alias("n"), F.count_if(failed).alias("n_error")).select(F.col("window.start").cast(kind).alias("window_start"), "n", "n_error")
 
 
 def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
