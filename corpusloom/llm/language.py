@@ -96,10 +96,9 @@ def line_scripts(text: str) -> tuple[list[str], np.ndarray]:
 class Classifier:
     """Sizes of lines under each language's dictionary."""
 
-    def __init__(self, dictionaries: dict[str, bytes], bounds: dict[str, float] | None = None, level: int = 1):
+    def __init__(self, dictionaries: dict[str, bytes], level: int = 1):
         import zstandard as z
 
-        self.bounds = bounds or {}
         self.compress = {}
         for lang, raw in dictionaries.items():
             d = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
@@ -107,20 +106,14 @@ class Classifier:
             self.compress[lang] = z.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress
         self.known: dict[tuple[str, int], tuple[str, float]] = {}
 
-    def line(self, line: str, script: int, guess: str = "") -> tuple[str, float]:
-        """(language, confidence) of a line whose letters are mostly of ``script``: the margin of the smallest size to the next, as a share.
-
-        Where the line's size under the dictionary of ``guess`` is below the bound that lines of other languages stay above in training, the others
-        aren't tried, and the confidence is the margin to that bound.
-        """
+    def line(self, line: str, script: int) -> tuple[str, float]:
+        """(language, confidence) of a line whose letters are mostly of ``script``: the margin of the smallest size to the next, as a share."""
         langs = _CANDIDATES.get(script, ())
         if len(langs) < 2:
             return (langs[0], 1.0) if langs else ("", 0.0)
         key = (line, script)
         if (out := self.known.get(key)) is None:
             data = " ".join(line.lower().split()).encode("utf-8", "replace")
-            if guess in langs and (bound := self.bounds.get(guess, 0.0) * len(data)) and (n := len(self.compress[guess](data)) - 8) < bound:
-                return guess, (bound - n) / bound + NARROW
             sizes = sorted((len(self.compress[x](data)) - 8, x) for x in langs)
             gap = sizes[1][0] - sizes[0][0]
             out = (sizes[0][1], gap / max(sizes[1][0], 1) if gap >= NARROW_BYTES else 0.0)
@@ -138,7 +131,6 @@ class Classifier:
         total = counts.sum(axis=1)
         rows, votes = [], {}
         loose: list[tuple[int, str, float, int]] = []
-        guess = ""
         total, counts = total.tolist(), counts.tolist()
         for k, n in enumerate(counts):
             if not (t := total[k]):
@@ -147,9 +139,7 @@ class Classifier:
             if t < SHORT:
                 rows.append([k + 1, "", 0.0, t, script])
                 continue
-            lang, conf = self.line(lines[k], script, guess)
-            if conf >= NARROW and t >= LONG:
-                guess = lang
+            lang, conf = self.line(lines[k], script)
             if conf < NARROW:
                 loose.append((t, lang, conf, script))
                 lang, conf = "", 0.0
@@ -171,8 +161,8 @@ class Classifier:
         return main, min(1.0, conf), [(r[0], r[1] or main, r[2], r[3]) for r in rows]
 
 
-def build(sample: list[tuple[str, str]], size: int = DICTIONARY) -> tuple[dict[str, bytes], dict[str, float]]:
-    """Dictionaries, and bounds as of ``bounds_of``, from (language, text) pairs, whose labels are mostly right.
+def build(sample: list[tuple[str, str]], size: int = DICTIONARY) -> tuple[dict[str, bytes]]:
+    """What a ``Classifier`` is made of, the dictionaries alone, from (language, text) pairs, whose labels are mostly right.
 
     A line (its letters) that stands under several labels goes to the one where it is most frequent: a site's own lines stand in texts of all languages. Then the
     lines are judged by dictionaries made of the other half of them, twice, and those that another language compresses
@@ -226,18 +216,7 @@ def build(sample: list[tuple[str, str]], size: int = DICTIONARY) -> tuple[dict[s
             first.append(line)
         rest = set(first)
         out[x] = pack(first + [line for line in pool[x] if line not in rest], x)
-    return out, bounds_of(out, pool, script_of)
-
-
-def bounds_of(dictionaries: dict[str, bytes], pool: dict[str, list[str]], script_of: dict[str, int]) -> dict[str, float]:
-    """For each language the share of its length that a line of another language of the same candidates is compressed to at the least, less a tenth: the 0.5 % quantile of up to 200 lines of each."""
-    c = Classifier(dictionaries)
-    out = {}
-    for x in LANGUAGES:
-        others = [line.encode("utf-8", "replace") for y in LANGUAGES if y != x and script_of[y] == script_of[x] for line in pool[y][:200]]
-        if others:
-            out[x] = 0.9 * float(np.quantile([(len(c.compress[x](b)) - 8) / len(b) for b in others], 0.005))
-    return out
+    return (out,)
 
 
 def hash_of(line: str) -> int:
@@ -246,14 +225,14 @@ def hash_of(line: str) -> int:
     return zlib.crc32(line.encode("utf-8", "replace"))
 
 
-def train(texts: DataFrame, id_col: str = "text_id", text_col: str = "extracted_text", label_col: str = "lang") -> tuple[dict[str, bytes], dict[str, float]]:
-    """Dictionaries and bounds from a bounded sample: of each label the ``SAMPLE`` texts of the smallest hash, at most 20,000 characters of each. It is all that comes to the driver."""
+def train(texts: DataFrame, id_col: str = "text_id", text_col: str = "extracted_text", label_col: str = "lang") -> tuple[dict[str, bytes]]:
+    """Dictionaries, as of ``build``, from a bounded sample: of each label the ``SAMPLE`` texts of the smallest hash, at most 20,000 characters of each. It is all that comes to the driver."""
     t = texts.select(F.xxhash64(id_col).alias("h"), label_column(F.col(label_col)).alias("l"), F.substring(text_col, 1, 20_000).alias("t")).filter("l is not null and t is not null")
     top = t.withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("h", F.xxhash64("t")))).filter(F.col("r") <= SAMPLE)
     return build([(r["l"], r["t"]) for r in top.select("l", "t", "h").orderBy("l", "h").collect()])
 
 
-def classify(texts: DataFrame, trained: tuple[dict[str, bytes], dict[str, float]], id_col: str = "text_id", text_col: str = "extracted_text", label_col: str = "lang") -> DataFrame:
+def classify(texts: DataFrame, trained: tuple[dict[str, bytes]], id_col: str = "text_id", text_col: str = "extracted_text", label_col: str = "lang") -> DataFrame:
     """(id, line_no, lang, confidence, letters, label, main): a row for each text (line_no 0) and for each of its lines with letters.
 
     label: the language that the text's label names, or null; main: the language of the text. Texts without letters of a known script have an empty lang and

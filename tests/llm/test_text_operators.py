@@ -98,6 +98,27 @@ def test_language_held_out():
     assert main == "en" and 0 < conf <= 1 and [r[1] for r in rows] == ["en", "de", "en"]
 
 
+SAYINGS = {
+    "en": "The night school opened the clock above the station, and the museum counted more than half of the chairs.",
+    "de": "Die Abendschule öffnete die Uhr über dem Bahnhof, und das Museum zählte mehr als die Hälfte der Stühle.",
+    "nl": "De avondschool opende de klok boven het station, en het museum telde meer dan de helft van de stoelen.",
+    "sv": "Kvällsskolan öppnade klockan ovanför stationen, och museet räknade mer än hälften av stolarna.",
+    "es": "La escuela nocturna abrió el reloj de la estación, y el museo contó más de la mitad de las sillas.",
+    "pt": "A escola noturna abriu o relógio da estação, e o museu contou mais da metade das cadeiras.",
+    "it": "La scuola serale aprì l’orologio della stazione, e il museo contò più della metà delle sedie.",
+}
+
+
+def test_language_of_long_lines():
+    """A line is judged by all languages wherever it stands, also a long one after a line of another language."""
+    texts = duckdb.sql(f"SELECT lang, extracted_text FROM '{DATA}/text_out.parquet' ORDER BY text_id").fetchall()
+    c = language.Classifier(*language.build([(k, t) for lang, t in texts if (k := language.label_language(lang))]))
+    for before, after in itertools.permutations(SAYINGS, 2):
+        rows = c.text("\n".join(" ".join([SAYINGS[x]] * 12) for x in (before, after)))[2]
+        assert [r[1] for r in rows] == [before, after]
+        assert rows[1][2] == c.text(" ".join([SAYINGS[after]] * 12))[2][0][2]
+
+
 def test_labels(spark):
     for label, want in [("en", "en"), (" DE", "de"), ("fr-FR", "fr"), ("eng", "en"), ("Portuguese", "pt"), ("und", None), ("--", None), ("", None), (None, None), ("unknown", None), ("zh_CN", "zh")]:
         assert language.label_language(label) == want
