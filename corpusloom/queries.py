@@ -241,7 +241,7 @@ def crawl_closure(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bfs_depth(spark: SparkSession, d: str) -> DataFrame:
-    return closure.closure(_edges(spark, d), _start(spark), max_rounds=12)
+    return closure.closure(_edges(spark, d), _start(spark))
 
 
 def resume_frontier(spark: SparkSession, d: str) -> DataFrame:

@@ -84,3 +84,23 @@ def test_queries_of_the_core_against_sql(spark):
         got = sorted(tuple(plain(r[c]) for c in cols) for r in QUERIES[name](spark, DATA).collect())
         want = con.execute(f"SELECT {', '.join(cols)} FROM ({SQL[name]})").fetchall()
         assert got == sorted(tuple(map(plain, r)) for r in want), name
+
+
+def test_bfs_depth_against_brute_force(spark, tmp_path):
+    """A graph deeper than the recursion of the SQL goes."""
+    hops = 5
+    orders = [(k, k) for k in range(1, hops + 1)] + [(90, 1), (91, 77)]
+    items = [(k, 1, k, k + 1) for k in range(1, hops + 1)] + [(90, 1, 1, 3), (91, 1, 5, 5), (1, 2, 9, 9)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame(items, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(k,) for k in range(1, hops + 2)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    edges = {(f"/c/{c}", f"/o/{o}") for o, c in orders} | {(f"/s/{k}", f"/c/{k}") for k in range(1, hops + 2)}
+    edges |= {e for o, n, p, s in items if n == 1 for e in ((f"/o/{o}", f"/p/{p}"), (f"/p/{p}", f"/s/{s}"))}
+    want, todo = {"/c/1": 0}, ["/c/1"]
+    for u in todo:
+        for v in sorted(b for a, b in edges if a == u and b not in want):
+            want[v] = want[u] + 1
+            todo.append(v)
+    assert max(want.values()) > 12
+    got = __spark_entry__.queries()["bfs_depth"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {r["url"]: r["depth"] for r in got} == want
