@@ -13,7 +13,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.lines import filler_words, record_lines
+from corpusloom.llm.lines import filler_words, hash64, record_lines
 from corpusloom.plans.joins import sized_join
 from corpusloom.plans.storage import materialize
 
@@ -75,8 +75,12 @@ def slots(lines: DataFrame, entries: bool = False) -> DataFrame:
     odd = F.col("cls").isin(1, 2, 3)
     fixed_here = (F.col("share").isNotNull() & ~odd) | (F.coalesce("share", F.lit(0.0)) > 0.34)
     left = both.filter(~(fixed_here | (F.col("known").isNotNull() & ~odd))).drop("share", "known")
-    if entries:
-        return left
+    return left if entries else without_entries(left, lines)
+
+
+def without_entries(left: DataFrame, lines: DataFrame) -> DataFrame:
+    """Slots (``slots`` with ``entries``) without the entries of lists of other pages."""
+    odd = F.col("cls").isin(1, 2, 3)
     # entries of lists of other pages fill no slot of the body: links of pages, and what follows in texts the lines that pages have as headings of such
     headings = materialize(lines.filter("cls = 6").select("masked").filter("masked <> 0").distinct(), "headings")
     at = sized_join(lines.filter("no > 0 and kind = 'text'").select("id", "no", "masked"), headings, ["masked"]).groupBy("id").agg(F.collect_set("no").alias("heads")).select(F.lit("text").alias("kind"), "id", "heads")
@@ -91,13 +95,34 @@ def residue(records: DataFrame) -> DataFrame:
     Records with a null or blank body, or with nothing but lines of the template, aren't found. Repeated rows come out once. Empty tables give no rows.
     """
     lines = materialize(record_lines(records, filler_words(records), message), "lines")
-    left = materialize(slots(lines), "slots")
+    filled = materialize(slots(lines, entries=True), "filled")
+    left = materialize(without_entries(filled, lines), "slots")
     seen = left.filter("cls = 0 and letters > 0").select("masked", "url").distinct().groupBy("masked").agg(F.count("*").alias("n")).filter(F.col("n") >= MESSAGE_URLS)
-    marked = sized_join(left, seen.select("masked", F.lit(True).alias("again")), ["masked"], "left")
+    again = materialize(seen.select("masked", F.lit(True).alias("again")), "again")
+    marked = sized_join(left, again, ["masked"], "left")
     odd = F.col("cls").isin(1, 2, 3)
     per = marked.groupBy("kind", "id").agg(
         F.sum(odd.cast("int")).alias("n_odd"), F.sum((~odd & (F.col("cls") != 5) & F.col("again").isNull() & (F.col("letters") > 0)).cast("int")).alias("n_plain"),
-        F.sum((F.col("again").isNotNull() & ~odd).cast("int")).alias("n_again"), F.sum("letters").alias("letters"), F.sum(F.when(F.col("cls").isin(1, 2), 0).otherwise(F.col("letters"))).alias("said"),
+        F.sum(F.when(F.col("cls").isin(1, 2), 0).otherwise(F.col("letters"))).alias("said"),
     )
-    # messages alone must be short; where only recurring lines are left, one of them must be a known message
-    return per.filter((F.col("n_plain") == 0) & (F.col("n_odd") > 0) & (F.col("said") <= MESSAGE_LETTERS)).select(F.col("kind").alias("record_kind"), F.col("id").alias("record_id"))
+    # messages alone must be short; where only recurring lines are left, one of them must be a known message, or all of repeated_bodies
+    known = per.filter((F.col("n_plain") == 0) & (F.col("n_odd") > 0) & (F.col("said") <= MESSAGE_LETTERS)).select("kind", "id")
+    return known.unionByName(repeated_bodies(lines, filled, again)).distinct().select(F.col("kind").alias("record_kind"), F.col("id").alias("record_id"))
+
+
+def repeated_bodies(lines: DataFrame, filled: DataFrame, again: DataFrame) -> DataFrame:
+    """(kind, id) of the records whose body is an error template by repetition alone, whatever its words.
+
+    A record is bare if it has no slots (``filled``) but known residue, the site's name and lines that recur (``again``), and no links of its own. Lines under ``MESSAGE_URLS`` urls or more that
+    stand in bare records only are messages: furniture stands beside content too. What a record has of them may be longer the more urls it stands under, since an article under a few urls is no message.
+    """
+    own = sized_join(filled.filter("letters > 0 and cls not in (1, 2, 3, 5)"), again, ["masked"], "left")
+    content = own.filter("again is null or links >= 0.8 * letters").select("kind", "id").distinct()
+    bare = materialize(sized_join(lines.filter("no = 0").select("kind", "id").distinct(), content, ["kind", "id"], "left_anti"), "bare")
+    body = lines.filter("no > 0 and letters > 0 and cls not in (1, 2, 3, 5)").filter(F.col("masked") != hash64("")).select("kind", "id", "masked", "letters", "url")
+    inside = materialize(sized_join(body, bare, ["kind", "id"], "left_semi"), "inside")
+    often = materialize(inside.groupBy("masked").agg(F.countDistinct("url").alias("n_urls")).filter(F.col("n_urls") >= MESSAGE_URLS), "often")
+    beside = sized_join(sized_join(body.select("kind", "id", "masked"), often.select("masked"), ["masked"], "left_semi"), bare, ["kind", "id"], "left_anti").select("masked").distinct()
+    only = materialize(sized_join(often, beside, ["masked"], "left_anti"), "messages")
+    per = sized_join(inside, only, ["masked"], "inner").groupBy("kind", "id").agg(F.sum("letters").alias("said"), F.min("n_urls").alias("n_urls"))
+    return per.filter(F.col("said") * MESSAGE_URLS <= F.col("n_urls") * MESSAGE_LETTERS).select("kind", "id")

@@ -188,6 +188,19 @@ def test_residue_and_spam(spark):
     assert residue.residue(empty).count() == 0 and spam.spam(empty).count() == 0
 
 
+def test_residue_by_repetition(spark):
+    """Error templates without a known word are found as the whole body of different urls, be they rarer or more frequent than furniture."""
+    rows = [("text", i, "s.example", u, "\n".join(ls)) for i in range(120) for _, u, ls in [_site(i)]]
+    rare, usual, top, foot = "Zerb kolu mantra pesti vorda lim.", "Quasti omber fela trun gedo.", "Home | News | Shop", "© 2024 Site. All rights reserved."
+    want = {200 + i: f"{top}\n{rare} [x-{i}]\n{foot}" for i in range(4)} | {300 + i: f"{top}\n{usual}\nUlda prem {i}/7.\n{foot}" for i in range(20)}
+    long = "The baker sold bread in the old valley and told a tale of it to the people who came there. " * 20
+    other = {400: f"{top}\n{foot}", 401: f"{top}\nTwo urls only here.\n{foot}", 402: f"{top}\nTwo urls only here.\n{foot}", **{500 + i: f"{top}\n{long}\n{foot}" for i in range(4)}}
+    quoted = [("text", 600 + i, "t.example", f"https://t/{i}", f"Blena korst ump.\nStory number {'abcdefghij'[i] * 3} of the day.") for i in range(6)] + [("text", 610 + i, "t.example", f"https://t/b{i}", "Blena korst ump.") for i in range(4)]
+    rows += [("text", i, "s.example", f"https://s/b{i}", b) for i, b in (want | other).items()] + quoted
+    df = spark.createDataFrame(rows, "record_kind string, record_id long, site string, url string, body string")
+    assert {r["record_id"] for r in residue.residue(df).collect()} == set(want)
+
+
 def test_queries_against_sql(spark):
     con = duckdb.connect()
     for t in ("text_out", "pages", "documents"):
