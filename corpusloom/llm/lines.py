@@ -38,8 +38,6 @@ _FUNCTION = frozenset(w for ws in FUNCTION_WORDS.values() for w in ws.split())
 _WORD = re.compile(r"[^\W\d_]+")
 _CJK = re.compile("[぀-ヿ㐀-鿿]")
 _VARIES, _DIGIT = re.compile(r"[\d/\[]"), re.compile(r"\d")
-#: Lines longer than this aren't masked: messages and set phrases are short.
-MASKED = 240
 #: What parts the entries of a list; filler that repeats a word has none.
 _LISTED = re.compile(r"[,;|]")
 _KANA = re.compile("[぀-ヿ]")
@@ -79,11 +77,11 @@ def hash64(s: str) -> int:
     return (crc32(b) << 31) ^ crc32(b, 0x9E3779B9) ^ (len(b) << 7)
 
 
-def mask(low: str, host: str) -> str:
-    """A line in lower case without what varies between uses of one template: numbers, codes, paths and the site's own name."""
-    if _VARIES.search(low):
-        low = " ".join(t for t in low.split() if t[0] != "/" and not (t[0] == "[" and t[-1] == "]") and not _DIGIT.search(t))
-    return " ".join([w for w in _WORD.findall(low) if len(w) < 4 or w not in host])
+def mask(low: str, host: str, runs: list[str] | None = None) -> str:
+    """A line in lower case without what varies between uses of one template: numbers, codes, paths and the site's own name. ``runs``: its words, if known."""
+    if runs is None or _VARIES.search(low):
+        runs = _WORD.findall(" ".join(t for t in low.split() if t[0] != "/" and not (t[0] == "[" and t[-1] == "]") and not _DIGIT.search(t)))
+    return " ".join([w for w in runs if len(w) < 4 or w not in host])
 
 
 def slot_share(line: str) -> float:
@@ -130,7 +128,7 @@ def line_facts(x: str, host: str, filler: frozenset, cues) -> tuple:
         cls = 5
     sent = int(len(ws) >= 5 and func >= 0.1 * len(ws) and own * 3 > min(len(ws), WINDOW))
     key = hash64(squeezed)
-    return ws, key, hash64(mask(low, host)) if len(x) <= MASKED else key, letters, func, cls, sent, rest, cjk
+    return ws, key, hash64(mask(low, host, runs)), letters, func, cls, sent, rest, cjk
 
 
 def describe(kind: str, site: str, body: str | None, filler: frozenset, cues, known: dict | None = None) -> list[tuple]:

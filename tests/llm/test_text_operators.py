@@ -169,6 +169,13 @@ def test_slots_and_masks():
     assert residue.message("Please enable JavaScript.") and not residue.message("The bakery sold bread.")
 
 
+def test_masks_of_long_lines():
+    """Lines of any length are the same on other sites and urls but for the site's name and codes."""
+    notice = "The people at {} keep small files on your device so that the pages can be shown as they should, " * 8 + "see /legal/{} or note {} for all of it."
+    masked = {lines.line_facts(notice.format(*[name] * 8, code, f"k{code}x"), f"{name}example", frozenset(), lambda x: False)[2] for name, code in [("kalomir", 12), ("tenbrak", 7), ("tenbrak", 431)]}
+    assert len(masked) == 1
+
+
 def _site(i):
     return (f"page {i}", f"https://s/{i}", ["Home | News | Shop", f"Headline number {'abcdefghij'[i % 10] * (i + 2)} of the day", f"The baker {'klmnop'[i % 6] * (i + 1)} opened the old shop in the valley, and it was a day of joy for all of us who were there with them.", "© 2024 Site. All rights reserved."])
 
