@@ -21,8 +21,10 @@ from corpusloom.plans.storage import materialize
 FIXED_URLS, FIXED_SHARE = 4, 0.06
 #: So many lines after the heading of a list of other pages may be its entries.
 ENTRIES = 5
-#: A message is an error template if it stands as (part of) the whole body under so many urls. A body of messages has at most so many letters.
-MESSAGE_URLS, MESSAGE_LETTERS = 3, 600
+#: A message is an error template if it stands as (part of) the whole body under so many urls. A body of messages and lines that recur has at most so many letters, unless this share of them is of messages.
+MESSAGE_URLS, MESSAGE_LETTERS, MESSAGE_SHARE = 3, 600, 0.5
+#: A line is a message if it has a cue for every so many characters.
+CUE_SPAN = 160
 #: Parts of words of error messages and demands for scripts.
 CUES = (
     "javascript", "enable scripts", "turn on scripts", "error 404", "error 403", "error 500", "404 –", "404 -", "page not found", "could not be found", "no longer exist", "access denied", "not allowed", "may not view", "too many requests",
@@ -44,14 +46,18 @@ def _cues():
 
     a = ahocorasick.Automaton()
     for c in CUES:
-        a.add_word(c, True)
+        a.add_word(c, len(c))
     a.make_automaton()
     return a
 
 
 def message(line: str) -> bool:
-    """Whether a short line has the words of an error message or a demand for scripts."""
-    return len(line) < 160 and (next(_cues().iter(line.lower()), None) is not None or _CODE.search(line) is not None)
+    """Whether a line has the words of an error message or a demand for scripts, a long one all along."""
+    n, last = 0, -1
+    for end, size in _cues().iter(line.lower()):
+        if end - size >= last:
+            n, last = n + 1, end
+    return (n or _CODE.search(line) is not None) * CUE_SPAN > len(line)
 
 
 def template_lines(lines: DataFrame) -> DataFrame:
@@ -103,10 +109,10 @@ def residue(records: DataFrame) -> DataFrame:
     odd = F.col("cls").isin(1, 2, 3)
     per = marked.groupBy("kind", "id").agg(
         F.sum(odd.cast("int")).alias("n_odd"), F.sum((~odd & (F.col("cls") != 5) & F.col("again").isNull() & (F.col("letters") > 0)).cast("int")).alias("n_plain"),
-        F.sum(F.when(F.col("cls").isin(1, 2), 0).otherwise(F.col("letters"))).alias("said"),
+        F.sum(F.when(F.col("cls").isin(1, 2), 0).otherwise(F.col("letters"))).alias("said"), F.sum(F.when(F.col("cls") == 3, F.col("letters")).otherwise(0)).alias("told"),
     )
-    # messages alone must be short; where only recurring lines are left, one of them must be a known message, or all of repeated_bodies
-    known = per.filter((F.col("n_plain") == 0) & (F.col("n_odd") > 0) & (F.col("said") <= MESSAGE_LETTERS)).select("kind", "id")
+    # other lines beside messages must be short; where only recurring lines are left, one of them must be a known message, or all of repeated_bodies
+    known = per.filter((F.col("n_plain") == 0) & (F.col("n_odd") > 0) & ((F.col("said") <= MESSAGE_LETTERS) | (F.col("told") >= MESSAGE_SHARE * F.col("said")))).select("kind", "id")
     return known.unionByName(repeated_bodies(lines, filled, again)).distinct().select(F.col("kind").alias("record_kind"), F.col("id").alias("record_id"))
 
 

@@ -195,6 +195,19 @@ def test_residue_and_spam(spark):
     assert residue.residue(empty).count() == 0 and spam.spam(empty).count() == 0
 
 
+def test_long_messages(spark):
+    """Demands and errors of any length are found, long content that mentions one isn't."""
+    demand = "This page needs JavaScript to show what you came for, and without it there is nothing here but a blank frame. Please turn on scripts in the settings of your browser, then reload the page and wait until it is complete."
+    mention = "The baker wrote that the old web server of the valley had been replaced, and that the people who came there found a better one, with more bread and more tales of the harbour than any of them had known in the years before."
+    assert len(demand) > 160 and residue.message(demand) and len(mention) > 160 and not residue.message(mention)
+    rows = [("text", i, "s.example", u, "\n".join(ls)) for i in range(120) for _, u, ls in [_site(i)]]
+    errors = "\n".join(f"Fatal: the part {w} is not defined and could not be found by the web server." for w in "kalo mirpa tenbra vosk lund gerst ompal quin rast yelm zoph brin".split())
+    bad = {500: f"Home | News | Shop\n{demand}", 501: errors, 502: mention}
+    rows += [("text", i, "s.example", f"https://s/b{i}", b) for i, b in bad.items()]
+    df = spark.createDataFrame(rows, "record_kind string, record_id long, site string, url string, body string")
+    assert {r["record_id"] for r in residue.residue(df).collect()} == {500, 501}
+
+
 def test_residue_by_repetition(spark):
     """Error templates without a known word are found as the whole body of different urls, be they rarer or more frequent than furniture."""
     rows = [("text", i, "s.example", u, "\n".join(ls)) for i in range(120) for _, u, ls in [_site(i)]]
