@@ -210,11 +210,11 @@ def record_lines(records: DataFrame, filler: frozenset = frozenset(), cues=lambd
 
 
 def filler_words(records: DataFrame, least: int = 3) -> frozenset:
-    """Filler vocabulary: the words of the classic passage, and words of at least ``least`` lines that hold two words of the classic passage. Such lines are so like each other that their words are few; at most 5,000 come to the driver, the most frequent first."""
+    """Filler vocabulary: the words of the classic passage, and words of at least ``least`` lines that hold two words of the classic passage. Such lines are so like each other that their words are few; all of them come to the driver."""
     seeds = "|".join(sorted(FILLER_SEEDS))
     body = F.regexp_replace(F.col("body"), "<[^<>]*>", "\n")
     hit = records.filter(F.col("body").rlike(rf"(?i)\b({seeds})\b")).select(F.explode(F.split(body, "\n")).alias("line"))
     words = hit.select(F.expr(r"array_distinct(regexp_extract_all(lower(line), '([\\p{L}]+)', 1))").alias("w"))
     two = words.filter(F.size(F.array_intersect("w", F.array(*[F.lit(s) for s in sorted(FILLER_SEEDS)]))) >= 2)
-    rows = two.select(F.explode("w").alias("w")).groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "w").limit(5000).collect()
+    rows = two.select(F.explode("w").alias("w")).groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("w").collect()
     return FILLER_SEEDS | {r["w"] for r in rows if r["w"] not in _FUNCTION}

@@ -176,6 +176,15 @@ def test_masks_of_long_lines():
     assert len(masked) == 1
 
 
+def test_filler_words_are_whole(spark):
+    """Rare filler words count as well, however many there are."""
+    rare = ["".join(chr(97 + k // 26**j % 26) for j in range(4)) + "qu" for k in range(6000)]
+    body = "\n".join(f"Lorem ipsum {' '.join(rare[k : k + 100])}" for k in range(0, 6000, 100))
+    df = spark.createDataFrame([(body,)] * 3 + [("Lorem ipsum seldom",), (None,)], "body string")
+    found = lines.filler_words(df)
+    assert set(rare) <= found and "seldom" not in found
+
+
 def _site(i):
     return (f"page {i}", f"https://s/{i}", ["Home | News | Shop", f"Headline number {'abcdefghij'[i % 10] * (i + 2)} of the day", f"The baker {'klmnop'[i % 6] * (i + 1)} opened the old shop in the valley, and it was a day of joy for all of us who were there with them.", "© 2024 Site. All rights reserved."])
 
