@@ -8,7 +8,7 @@ accepted if it beats the word as it stands by more than a margin that is validat
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,10 +30,11 @@ MARGIN_UTF8, MARGIN_OTHER = 3.0, 6.5
 MARGIN_BESIDE, MARGIN_TOGETHER = 2.0, 11.0
 #: Words whose verdicts a worker keeps.
 KEPT = 200_000
-#: A word isn't tried if each of its trigrams has at least this log-likelihood.
-PLAIN = -5.5
 _CUT = re.compile(r"[<>&\"=;/|()\[\]{}*_#]+")
 _BROKEN = re.compile("[\u0080-\u009f�]")
+_PAIR, _ASCII = re.compile(r"[^\x00-\x7f]{2}"), re.compile("[A-Za-z]")
+_WIDE = re.compile("[぀-ヿ㐀-鿿가-힣]")
+_OTHER = re.compile(r"[ -@\[-`{-~Ͱ-Ͽ]+|[ -@\[-`{-~Ѐ-ӿ]+")
 _RARE = ("mac_roman", "cp850", "cp852", "iso8859-")
 _LETTERS = re.compile("[\u00a1-\u024f\u2500-\u259f]{4,}")
 _RUN = re.compile(r"[^\x00-\x20]*[^\x00-\x7f][^\x00-\x20]*")
@@ -86,54 +87,100 @@ def undo_utf8(word: str, codec: str) -> str:
     return _sequence(codec).sub(fix, word)
 
 
-@lru_cache(maxsize=None)
-def _table(wrong: str, right: str) -> dict[int, str]:
-    return {ord(c): (_char(b, right) or "�") for c, b in _high(wrong).items()}
+@lru_cache(maxsize=1)
+def _all_high() -> frozenset[str]:
+    return frozenset(c for codec in SINGLE for c in _high(codec))
+
+
+@lru_cache(maxsize=1)
+def _ends() -> tuple[tuple[str, frozenset[str], frozenset[str]], ...]:
+    """(encoding, characters that show the first byte of a UTF-8 sequence, those that show a later one)."""
+    return tuple((codec, frozenset(c for c, b in _high(codec).items() if 0xC2 <= b <= 0xF4), frozenset(c for c, b in _high(codec).items() if b < 0xC0)) for codec in SINGLE)
 
 
-def _coherent(word: str) -> bool:
-    """No word mixes Latin with Cyrillic or Greek letters."""
-    return not (re.search(r"[A-Za-zÀ-ɏ]", word) and re.search("[Ͱ-ϿЀ-ӿ]", word))
+@lru_cache(maxsize=1)
+def _swap_tables() -> tuple[tuple[str, dict[str, int], tuple[tuple[str, dict[str, str]], ...]], ...]:
+    """(encoding, its characters' bytes, ((other, characters as the other shows their bytes), ...)); characters that would become control ones or none are left out."""
+    out = []
+    for wrong in SINGLE:
+        high = _high(wrong)
+        to = []
+        for right in SINGLE:
+            if right != wrong:
+                to.append((right, {c: x for c, b in high.items() if (x := _char(b, right)) and not _BROKEN.search(x)}))
+        out.append((wrong, high, tuple(to)))
+    return tuple(out)
+
+
+@lru_cache(maxsize=20_000)
+def _chains(marks: str) -> tuple[tuple, tuple, tuple]:
+    """What the non-ASCII characters of a word, each once and in order, allow: encodings in which they can show UTF-8; (encoding, table to its bytes), those with the
+    same bytes once; (chain, table, gives Latin letters, gives Cyrillic or Greek ones) between single-byte encodings, those with the same result once."""
+    own = frozenset(marks)
+    utf8 = tuple(codec for codec, lead, later in _ends() if own & lead and own & later)
+    raws, swaps = {}, {}
+    for wrong, high, others in _swap_tables():
+        if not own <= high.keys():
+            continue
+        raws.setdefault(bytes([high[c] for c in marks]), wrong)
+        for right, table in others:
+            to = "".join([table.get(c, "") for c in marks])
+            if len(to) == len(marks) and to != marks and to not in swaps:
+                swaps[to] = f"{wrong}>{right}"
+    raw = tuple((codec, {ord(c): b for c, b in zip(marks, bs)}) for bs, codec in raws.items())
+    swap = tuple((chain, {ord(c): x for c, x in zip(marks, to)}, any("À" <= x <= "ɏ" for x in to), any("Ͱ" <= x <= "ӿ" for x in to)) for to, chain in swaps.items())
+    return utf8, raw, swap
 
 
 def candidates(word: str) -> dict[str, tuple[str, bool]]:
-    """Restored word -> (chain, whether it undoes UTF-8). Each chain may be applied twice for UTF-8."""
+    """Restored word -> (chain, whether it undoes UTF-8). Each chain may be applied twice for UTF-8. No result mixes Latin with Cyrillic or Greek letters."""
     out: dict[str, tuple[str, bool]] = {}
-    marks = {c for c in word if ord(c) > 127}
-    for codec in SINGLE:
-        if _sequence(codec).search(word):
-            once = undo_utf8(word, codec)
-            if once != word:
-                out.setdefault(once, (f"{codec}>utf-8", True))
-                for again in ("cp1252", "latin-1", codec):
-                    twice = undo_utf8(once, again)
-                    if twice != once:
-                        out.setdefault(twice, (f"{codec}>utf-8>{again}>utf-8", True))
-    plain = word.translate({ord("�"): None}) if "�" in word else word
+    own = {c for c in word if c > "\x7f"}
+    plain = word.replace("�", "") if "�" in word else word
+    known = _all_high()
+    if any(c in known for c in own):
+        utf8, raws, swaps = _chains("".join(sorted(own)))
+        if utf8 and _PAIR.search(word):
+            for codec in utf8:
+                once = undo_utf8(word, codec)
+                if once != word:
+                    out.setdefault(once, (f"{codec}>utf-8", True))
+                    for again in ("cp1252", "latin-1", codec):
+                        twice = undo_utf8(once, again)
+                        if twice != once:
+                            out.setdefault(twice, (f"{codec}>utf-8>{again}>utf-8", True))
+        if plain is word:
+            latin = _ASCII.search(word) is not None
+            for wrong, table in raws:
+                raw = word.translate(table).encode("latin-1")
+                for right in WIDE:
+                    try:
+                        out.setdefault(raw.decode(right), (f"{wrong}>{right}", False))
+                    except UnicodeDecodeError:
+                        pass
+            for chain, table, to_latin, to_other in swaps:
+                if not (to_other and (latin or to_latin)):
+                    out.setdefault(word.translate(table), (chain, False))
     for codec in WIDE:
         try:
             raw = plain.encode(codec)
-            fixed = raw.decode("utf-8", "strict" if plain == word else "ignore")
-            if fixed != word and fixed:
+        except UnicodeError:
+            continue
+        try:
+            if fixed := raw.decode("utf-8", "strict" if plain is word else "ignore"):
                 out.setdefault(fixed, (f"{codec}>utf-8", True))
         except UnicodeError:
             pass
-    if "�" not in word:
-        for wrong in SINGLE:
-            high = _high(wrong)
-            if not all(c in high for c in marks):
-                continue
-            raw = bytes(high[c] if ord(c) > 127 else ord(c) for c in word)
-            for right in WIDE:
-                try:
-                    out.setdefault(raw.decode(right), (f"{wrong}>{right}", False))
-                except UnicodeDecodeError:
-                    pass
-            for right in SINGLE:
-                if right != wrong:
-                    fixed = word.translate(_table(wrong, right))
-                    if fixed != word and fixed not in out and "�" not in fixed and not _BROKEN.search(fixed) and _coherent(fixed):
-                        out[fixed] = (f"{wrong}>{right}", False)
+        if plain is word and _WIDE.search(word):
+            for right in (*WIDE, *SINGLE):
+                if right != codec:
+                    try:
+                        fixed = raw.decode(right)
+                    except UnicodeDecodeError:
+                        continue
+                    # bytes of wide characters give letters of one other script, or none of use
+                    if right in WIDE or _OTHER.fullmatch(fixed):
+                        out.setdefault(fixed, (f"{codec}>{right}", False))
     out.pop(word, None)
     return out
 
@@ -176,10 +223,10 @@ class Model:
         out[2] = np.bincount(h[2].astype(np.int64), w, 1 << BITS)
         return out
 
-    def score(self, ws: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Log-likelihood of each word, and the least over its positions."""
+    def score(self, ws: list[str]) -> np.ndarray:
+        """Log-likelihood of each word."""
         if not ws:
-            return np.zeros(0), np.zeros(0)
+            return np.zeros(0)
         h, starts = self.codes(ws)
         h = h.astype(np.int64)
         p1 = (self.t1[h[2]] + 0.01) / (self.total + 0.01 * 70_000)
@@ -191,21 +238,19 @@ class Model:
         skip[starts] = True
         skip[starts + 1] = True
         lp[skip] = 0.0
-        return np.add.reduceat(lp, starts), np.minimum.reduceat(lp, starts)
+        return np.add.reduceat(lp, starts)
 
 
 def judge(ws: list[str], model: Model) -> dict[str, tuple[str, str, float, bool]]:
     """Word -> (restored word, chain, log-likelihood ratio, undoes UTF-8) of its likeliest chain, for words that have one likelier than themselves."""
-    own, least = model.score(ws)
+    own = model.score(ws)
     rows, cand, meta = [], [], []
     for k, w in enumerate(ws):
-        if least[k] > PLAIN and not _BROKEN.search(w) and not _LETTERS.search(w):
-            continue
         for fixed, (chain, utf8) in candidates(w).items():
             rows.append(k)
             cand.append(fixed)
             meta.append((chain, utf8))
-    score, _ = model.score(cand)
+    score = model.score(cand)
     best: dict[str, tuple[str, str, float, bool]] = {}
     for k, fixed, (chain, utf8), s in zip(rows, cand, meta, score):
         llr = float(s - own[k])
@@ -372,6 +417,22 @@ def repair(text: str, fixes: dict[str, str]) -> str:
     return _RUN.sub(lambda m: _PIECE.sub(lambda p: fixes.get(p[0], p[0]), m[0]), text) if fixes else text
 
 
+def mender(trained) -> Callable[[], Callable[[list], list]]:
+    """What makes, in a worker, a function that puts a list of texts right by a model as of ``train``; null texts stay null."""
+
+    def make() -> Callable[[list], list]:
+        finder = Finder(trained.value)
+
+        def mend(texts: list[str | None]) -> list[str | None]:
+            own = [words(t) if t and not t.isascii() else [] for t in texts]
+            finder.learn({w for ws in own for w in ws})
+            return [repair(t, finder.fixes(ws)[1]) if ws else t for t, ws in zip(texts, own)]
+
+        return mend
+
+    return make
+
+
 def examine(records: DataFrame, text_col: str, trained, restore: bool = False) -> DataFrame:
     """The records that are garbled, by a model as of ``train``; with ``restore`` all records, ``text_col`` put right and a column ``garbled``.
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -44,12 +44,21 @@ SEEDS = {
     "zh": "城里的人从一开始就在这里，他们不会离开，因为没有什么能让他们比现在更幸福。关于这件事您说了什么？我们来看的时候，别的东西在哪里？",
 }
 #: Texts per label in the sample that the dictionaries are made of, and bytes of a dictionary.
-SAMPLE, DICTIONARY = 200, 40_000
+SAMPLE, DICTIONARY = 200, 80_000
+#: Characters of one of them.
+EXCERPT = 20_000
+#: Parameters of compression: a table with room for every place of a dictionary, short matches, and literals left as they are (by the target length), so the size tells what the
+#: dictionary holds and not how evenly letters are spread. On lines of labelled texts this is right as often as level 1, at half the time.
+PARAMETERS = {"window_log": 17, "chain_log": 16, "hash_log": 16, "search_log": 1, "min_match": 5, "target_length": 1, "strategy": 1}
 #: A line is rejected if the next language's size is larger by less than this share, or by fewer bytes.
 NARROW, NARROW_BYTES = 0.05, 3
 #: Lines of fewer letters are left to their text, unless nothing else is there.
 SHORT, LONG = 12, 40
-_CANDIDATES = {1: ("en", "de", "fr", "es", "pt", "it", "nl", "pl", "sv", "tr"), 2: ("el",), 3: ("ru", "uk"), 4: ("ja",), 5: ("zh", "ja")}
+#: Characters that are taken together in one pass of a worker, and lines whose languages it keeps.
+TOGETHER, KEPT = 1_000_000, 100_000
+_LATIN = ("en", "de", "fr", "es", "pt", "it", "nl", "pl", "sv", "tr")
+#: The languages whose dictionaries a line is compressed under, by its script: all that are written in it, and beside a few of those one or more of every other script.
+_CANDIDATES = {1: _LATIN, 2: ("el", "en", "ru", "ja"), 3: ("ru", "uk", "el", "en"), 4: ("ja", "zh", "en", "ru"), 5: ("zh", "ja", "en", "ru")}
 
 
 @lru_cache(maxsize=1)
@@ -84,6 +93,13 @@ def label_column(column):
     return F.coalesce(F.try_element_at(table, s), F.try_element_at(table, F.element_at(F.split(s, "[-_ ]"), 1)))
 
 
+def scripts_of(counts: np.ndarray) -> np.ndarray:
+    """The script of most letters of each line, from letters by script; kana make a line Japanese, since Han letters stand in both."""
+    cjk = counts[:, 3] + counts[:, 4]
+    own = np.where(counts[:, 3] * 20 > cjk, 4, 5)
+    return np.where(cjk > counts[:, :3].sum(axis=1), own, counts.argmax(axis=1) + 1)
+
+
 def line_scripts(text: str) -> tuple[list[str], np.ndarray]:
     """The lines of a text, and for each the number of letters by script."""
     lines = text.split("\n")
@@ -96,69 +112,109 @@ def line_scripts(text: str) -> tuple[list[str], np.ndarray]:
 class Classifier:
     """Sizes of lines under each language's dictionary."""
 
-    def __init__(self, dictionaries: dict[str, bytes], level: int = 1):
+    def __init__(self, dictionaries: dict[str, bytes]):
         import zstandard as z
 
-        self.compress = {}
+        p = z.ZstdCompressionParameters(**PARAMETERS, write_checksum=0, write_content_size=0, write_dict_id=0)
+        self.compressors = {}
         for lang, raw in dictionaries.items():
             d = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=level)
-            self.compress[lang] = z.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress
+            d.precompute_compress(compression_params=p)
+            self.compressors[lang] = z.ZstdCompressor(compression_params=p, dict_data=d)
         self.known: dict[tuple[str, int], tuple[str, float]] = {}
 
+    def lines(self, lines: list[tuple[str, int]]) -> list[tuple[str, float]]:
+        """(language, confidence) of lines (line, script of most of its letters): the margin of the smallest size to the next, as a share of that.
+
+        What a line gets depends on the line alone, so neither on the order of lines nor on tasks.
+        """
+        known = self.known
+        new = dict.fromkeys(x for x in lines if x not in known)
+        if len(known) + len(new) > KEPT:
+            known = self.known = {}
+            new = dict.fromkeys(lines)
+        by: dict[int, list[tuple[str, int]]] = {}
+        for x in new:
+            by.setdefault(x[1], []).append(x)
+        for script, own in by.items():
+            langs = _CANDIDATES.get(script, ())
+            data = [" ".join(x.lower().split()).encode("utf-8", "replace") for x, _ in own]
+            full = [k for k, d in enumerate(data) if d]
+            if not langs or not full:
+                known.update(dict.fromkeys(own, ("", 0.0)))
+                continue
+            part = [data[k] for k in full]
+            sizes = np.full((len(langs), len(own)), 8)
+            for j, lang in enumerate(langs):
+                sizes[j, full] = [len(c) for c in self.compressors[lang].multi_compress_to_buffer(part, threads=1)]
+            sizes -= 8  # of the frame
+            # of equal sizes the first code in the alphabet counts
+            order = sorted(range(len(langs)), key=lambda j: langs[j])
+            sizes = sizes[order]
+            best = sizes.argmin(axis=0)
+            two = np.partition(sizes, 1, axis=0)[:2]
+            gap = two[1] - two[0]
+            conf = np.where(gap >= NARROW_BYTES, gap / np.maximum(two[1], 1), 0.0).tolist()
+            known.update(zip(own, zip((langs[order[j]] for j in best.tolist()), conf)))
+        return [known[x] for x in lines]
+
     def line(self, line: str, script: int) -> tuple[str, float]:
-        """(language, confidence) of a line whose letters are mostly of ``script``: the margin of the smallest size to the next, as a share."""
-        langs = _CANDIDATES.get(script, ())
-        if len(langs) < 2:
-            return (langs[0], 1.0) if langs else ("", 0.0)
-        key = (line, script)
-        if (out := self.known.get(key)) is None:
-            data = " ".join(line.lower().split()).encode("utf-8", "replace")
-            sizes = sorted((len(self.compress[x](data)) - 8, x) for x in langs)
-            gap = sizes[1][0] - sizes[0][0]
-            out = (sizes[0][1], gap / max(sizes[1][0], 1) if gap >= NARROW_BYTES else 0.0)
-            if len(self.known) > 100_000:
-                self.known.clear()
-            self.known[key] = out
+        """``lines`` of one line."""
+        return self.lines([(line, script)])[0]
+
+    def texts(self, texts: list[str]) -> list[tuple[str, float, list[tuple[int, str, float, int]]]]:
+        """``text`` of many texts, whose lines are compressed together."""
+        out, at = [], 0
+        while at < len(texts):
+            end, size = at + 1, len(texts[at])
+            while end < len(texts) and size + len(texts[end]) <= TOGETHER:
+                size += len(texts[end])
+                end += 1
+            part = texts[at:end]
+            lines, counts = line_scripts("\n".join(part))
+            total, script = counts.sum(axis=1), scripts_of(counts)
+            long = (total >= SHORT).nonzero()[0].tolist()
+            got = dict(zip(long, self.lines([(lines[k], s) for k, s in zip(long, script[long].tolist())])))
+            total, script, k = total.tolist(), script.tolist(), 0
+            for t in part:
+                n = t.count("\n") + 1
+                out.append(self._vote(t, [(j - k + 1, total[j], script[j], got.get(j)) for j in range(k, k + n) if total[j]]))
+                k += n
+            at = end
         return out
 
     def text(self, text: str) -> tuple[str, float, list[tuple[int, str, float, int]]]:
         """(language, confidence, lines) of a text; lines: (number, language, confidence, letters) of each line with letters.
 
-        Kana make a line Japanese, since Han letters stand in both. A line with few letters or a narrow margin gets the text's language, with confidence 0.
+        A line with few letters or a narrow margin gets the text's language, with confidence 0.
         """
-        lines, counts = line_scripts(text)
-        total = counts.sum(axis=1)
-        rows, votes = [], {}
-        loose: list[tuple[int, str, float, int]] = []
-        total, counts = total.tolist(), counts.tolist()
-        for k, n in enumerate(counts):
-            if not (t := total[k]):
-                continue
-            script = 1 if n[0] == t else 4 if n[3] * 20 > n[3] + n[4] and n[3] + n[4] > n[0] + n[1] + n[2] else 5 if n[3] + n[4] > n[0] + n[1] + n[2] else n.index(max(n)) + 1
-            if t < SHORT:
-                rows.append([k + 1, "", 0.0, t, script])
-                continue
-            lang, conf = self.line(lines[k], script)
-            if conf < NARROW:
-                loose.append((t, lang, conf, script))
-                lang, conf = "", 0.0
-            else:
+        return self.texts([text])[0]
+
+    def _vote(self, text: str, lines: list[tuple]) -> tuple[str, float, list[tuple[int, str, float, int]]]:
+        """``text`` from its lines with letters: (number, letters, script, (language, confidence) or null)."""
+        votes: dict[str, int] = {}
+        rows, loose = [], []
+        for no, t, _, got in lines:
+            lang, conf = got or ("", 0.0)
+            if conf >= NARROW:
                 votes[lang] = votes.get(lang, 0) + t
-            rows.append([k + 1, lang, conf, t, script])
+            else:
+                if got:
+                    loose.append((t, lang))
+                lang, conf = "", 0.0
+            rows.append((no, lang, conf, t))
         if not votes:
-            for t, lang, _, _ in loose:
+            for t, lang in loose:
                 votes[lang] = votes.get(lang, 0) + t
-        if not votes and rows:
-            best = max(rows, key=lambda r: r[3])
-            lang, _ = self.line(text, best[4])
+        if not votes and lines:
+            lang, _ = self.line(text, max(lines, key=lambda r: r[1])[2])
             votes[lang] = 1
         votes.pop("", None)
         if not votes:
-            return "", 0.0, [(r[0], "", 0.0, r[3]) for r in rows]
+            return "", 0.0, rows
         main = max(sorted(votes), key=lambda x: votes[x])
         conf = votes[main] / max(1, sum(r[3] for r in rows))
-        return main, min(1.0, conf), [(r[0], r[1] or main, r[2], r[3]) for r in rows]
+        return main, min(1.0, conf), [(no, lang or main, c, t) for no, lang, c, t in rows]
 
 
 def build(sample: list[tuple[str, str]], size: int = DICTIONARY) -> tuple[dict[str, bytes]]:
@@ -168,20 +224,17 @@ def build(sample: list[tuple[str, str]], size: int = DICTIONARY) -> tuple[dict[s
     lines are judged by dictionaries made of the other half of them, twice, and those that another language compresses
     better are dropped, unless they stand in three texts or more, mostly of one label: then they are known by that. Each dictionary begins with the language's own seed sentences.
     """
-    script_of = {lang: s for s, langs in _CANDIDATES.items() for lang in langs if s != 5} | {"zh": 5}
+    script_of = dict.fromkeys(_LATIN, 1) | {"el": 2, "ru": 3, "uk": 3, "ja": 4, "zh": 5}
     seen: dict[str, dict[str, int]] = {}
     form: dict[str, str] = {}
     for lang, text in sample:
         lines, counts = line_scripts(text)
-        for line, n in zip(lines, counts):
-            if n.sum() >= LONG:
-                cjk = n[3] + n[4] > n[0] + n[1] + n[2]
-                script = (4 if n[3] * 20 > n[3] + n[4] else 5) if cjk else int(n.argmax()) + 1
-                if script == script_of[lang]:
-                    key = re.sub(r"[\W\d_]+", "", low := line.lower())
-                    form.setdefault(key, " ".join(low.split()))
-                    own = seen.setdefault(key, {})
-                    own[lang] = own.get(lang, 0) + 1
+        for line, script, total in zip(lines, scripts_of(counts).tolist(), counts.sum(axis=1).tolist()):
+            if total >= LONG and script == script_of[lang]:
+                key = re.sub(r"[\W\d_]+", "", low := line.lower())
+                form.setdefault(key, " ".join(low.split()))
+                own = seen.setdefault(key, {})
+                own[lang] = own.get(lang, 0) + 1
     pool: dict[str, list[str]] = {x: [] for x in LANGUAGES}
     often = {form[key]: max(own.values()) for key, own in seen.items()}
     firm = {form[key] for key, own in seen.items() if (top := max(own.values())) >= 3 and top >= 0.6 * sum(own.values())}
@@ -203,7 +256,8 @@ def build(sample: list[tuple[str, str]], size: int = DICTIONARY) -> tuple[dict[s
         for half in (0, 1):
             c = Classifier({x: pack(pool[x][half::2], x) for x in LANGUAGES})
             for x in LANGUAGES:
-                kept[x] += [line for line in pool[x][1 - half :: 2] if line in firm or (got := c.line(line, script_of[x]))[0] == x and got[1] >= NARROW]
+                own = pool[x][1 - half :: 2]
+                kept[x] += [line for line, got in zip(own, c.lines([(line, script_of[x]) for line in own])) if line in firm or got[0] == x and got[1] >= NARROW]
         # neighbours of one text apart again
         pool = {x: sorted(v, key=hash_of) for x, v in kept.items()}
     out = {}
@@ -225,36 +279,54 @@ def hash_of(line: str) -> int:
     return zlib.crc32(line.encode("utf-8", "replace"))
 
 
+def excerpt(text: str, size: int = EXCERPT) -> str:
+    """A text of at most about ``size`` characters as it is, of a longer one lines from all over it: those of the smallest hash, in order."""
+    if len(text) <= size:
+        return text
+    lines, picked, room = text.split("\n"), [], size
+    for k in sorted(range(len(lines)), key=lambda k: (hash_of(lines[k]), k)):
+        if (room := room - len(lines[k]) - 1) < 0:
+            break
+        picked.append(k)
+    return "\n".join(lines[k] for k in sorted(picked)) if picked else text[:size]
+
+
 def train(texts: DataFrame, id_col: str = "text_id", text_col: str = "extracted_text", label_col: str = "lang") -> tuple[dict[str, bytes]]:
-    """Dictionaries, as of ``build``, from a bounded sample: of each label the ``SAMPLE`` texts of the smallest hash, at most 20,000 characters of each. It is all that comes to the driver."""
-    t = texts.select(F.xxhash64(id_col).alias("h"), label_column(F.col(label_col)).alias("l"), F.substring(text_col, 1, 20_000).alias("t")).filter("l is not null and t is not null")
-    top = t.withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("h", F.xxhash64("t")))).filter(F.col("r") <= SAMPLE)
-    return build([(r["l"], r["t"]) for r in top.select("l", "t", "h").orderBy("l", "h").collect()])
+    """Dictionaries, as of ``build``, from a bounded sample: of each label the ``SAMPLE`` texts of the smallest hash, of each an ``excerpt``. It is all that comes to the driver."""
+    t = texts.select(F.xxhash64(id_col).alias("h"), label_column(F.col(label_col)).alias("l"), F.col(text_col).alias("t")).filter("l is not null and t is not null")
+    top = t.withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("h", F.xxhash64("t")))).filter(F.col("r") <= SAMPLE).select("l", "t", "h")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([excerpt(x) for x in b.column(1).to_pylist()], pa.string()), b.column(2)], names=["l", "t", "h"])
+
+    rows = top.mapInArrow(run, "l string, t string, h long").collect()
+    return build([(r["l"], r["t"]) for r in sorted(rows, key=lambda r: (r["l"], r["h"], r["t"]))])
 
 
-def classify(texts: DataFrame, trained: tuple[dict[str, bytes]], id_col: str = "text_id", text_col: str = "extracted_text", label_col: str = "lang") -> DataFrame:
+def classify(texts: DataFrame, trained: tuple[dict[str, bytes]], id_col: str = "text_id", text_col: str = "extracted_text", label_col: str = "lang", mend: Callable | None = None) -> DataFrame:
     """(id, line_no, lang, confidence, letters, label, main): a row for each text (line_no 0) and for each of its lines with letters.
 
-    label: the language that the text's label names, or null; main: the language of the text. Texts without letters of a known script have an empty lang and
-    confidence 0, null texts no rows. Repeated rows come out repeatedly.
+    label: the language that the text's label names, or null; main: the language of the text. ``mend`` makes, in a worker, a function that puts a list of texts right before they are
+    judged. Texts without letters of a known script have an empty lang and confidence 0, null texts no rows. Repeated rows come out repeatedly.
     """
     shared = texts.sparkSession.sparkContext.broadcast(trained)
     source = texts.select(F.col(id_col).cast("long").alias("id"), label_column(F.col(label_col)).alias("label"), F.col(text_col).alias("t")).filter("t is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Classifier(*shared.value)
+        fix = mend() if mend else list
         for b in batches:
             at, no, lang, conf, letters, main = [], [], [], [], [], []
-            for k, t in enumerate(b.column(2).to_pylist()):
-                own, sure, rows = c.text(t)
+            for k, (own, sure, rows) in enumerate(c.texts(fix(b.column(2).to_pylist()))):
                 rows = [(0, own, sure, sum(r[3] for r in rows)), *rows]
                 at += [k] * len(rows)
                 main += [own] * len(rows)
-                for r in rows:
-                    no.append(r[0])
-                    lang.append(r[1])
-                    conf.append(r[2])
-                    letters.append(r[3])
+                a, x, y, z = zip(*rows)
+                no += a
+                lang += x
+                conf += y
+                letters += z
             at = pa.array(at, pa.int32())
             yield pa.RecordBatch.from_pydict({"id": b.column(0).take(at), "line_no": pa.array(no, pa.int32()), "lang": pa.array(lang, pa.string()), "confidence": pa.array(conf, pa.float64()), "letters": pa.array(letters, pa.int32()), "label": b.column(1).take(at), "main": pa.array(main, pa.string())})
 

@@ -47,8 +47,7 @@ def _classified(spark: SparkSession, d: str) -> DataFrame:
     """The lines of all texts with their languages; garbled texts are judged by their original."""
     texts = table(spark, d, "text_out").select("text_id", "lang", "extracted_text")
     dictionaries = language.train(texts)
-    restored = encoding.examine(texts, "extracted_text", encoding.train(texts, "extracted_text"), restore=True)
-    return language.classify(restored, dictionaries)
+    return language.classify(texts, dictionaries, mend=encoding.mender(encoding.train(texts, "extracted_text")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
