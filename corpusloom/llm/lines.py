@@ -9,11 +9,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from math import log2
-from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from corpusloom.llm.html import blocks
 
@@ -33,14 +33,15 @@ FUNCTION_WORDS = {
     "tr": "ve bir bu da de için ile çok daha ne artık hâlâ her en eski onun sonra kadar ama gibi olan",
     "el": "ο η το οι τα τον την του της των και είναι σε με για από που δεν να στο στη στον στην θα μια ένα ένας μας αλλά",
 }
-_CJK_FUNCTION = frozenset("的了在是和有不这那一也被把从到与很就のはにをがでともへやからまですた")
+_CJK_FUNCTION = re.compile("[的了在是和有不这那一也被把从到与很就のはにをがでともへやからまですた]")
 _FUNCTION = frozenset(w for ws in FUNCTION_WORDS.values() for w in ws.split())
 _WORD = re.compile(r"[^\W\d_]+")
 _CJK = re.compile("[぀-ヿ㐀-鿿]")
-_VARIES, _DIGIT = re.compile(r"[\d/\[]"), re.compile(r"\d")
+_VARIES, _DIGITS = re.compile(r"[\d/\[]"), frozenset("0123456789")
 #: What parts the entries of a list; filler that repeats a word has none.
 _LISTED = re.compile(r"[,;|]")
 _KANA = re.compile("[぀-ヿ]")
+_MAYBE_HOST = re.compile(r"[.#]\w")
 _HOST = re.compile(r"\b[\w-]+(?:\.[\w-]+)+(?:/\S*)?|https?://\S+|#\w+")
 #: Forms of an unfilled slot: a short name in any of the brackets that template languages use.
 _NAME = r"[ \t]*[^\W\d_][\w .-]{0,28}[ \t]*|[ \t]*\d{1,3}[ \t]*"
@@ -58,13 +59,18 @@ for _k, _ws in enumerate(FUNCTION_WORDS.values()):
 FILLER_SEEDS = frozenset("lorem ipsum dolor amet consectetur adipiscing elit tempor incididunt labore aliqua".split())
 #: Words of a window.
 WINDOW = 100
+#: Lines whose facts a worker keeps, and records that it takes at once: they bound its memory.
+KEPT, SLICE = 50_000, 500
 SCHEMA = "kind string, id long, site string, url string, no int, key long, masked long, letters int, words int, func int, recur int, links int, cls int, sent int"
 
 
 def tokens(line: str) -> list[str]:
     """The words of a line in lower case; runs of Chinese or Japanese characters as pairs."""
+    low = line.lower()
+    if low.isascii() or not _CJK.search(low):
+        return _WORD.findall(low)
     out = []
-    for w in _WORD.findall(line.lower()):
+    for w in _WORD.findall(low):
         if len(w) > 1 and _CJK.match(w[0]):
             out += [w[i : i + 2] for i in range(len(w) - 1)]
         else:
@@ -73,14 +79,15 @@ def tokens(line: str) -> list[str]:
 
 
 def hash64(s: str) -> int:
-    b = s.encode("utf-8", "replace")
-    return (crc32(b) << 31) ^ crc32(b, 0x9E3779B9) ^ (len(b) << 7)
+    """A hash of 64 bits, signed."""
+    h = xxh3_64_intdigest(s.encode("utf-8", "replace"))
+    return h - (1 << 64) if h >> 63 else h
 
 
 def mask(low: str, host: str, runs: list[str] | None = None) -> str:
     """A line in lower case without what varies between uses of one template: numbers, codes, paths and the site's own name. ``runs``: its words, if known."""
     if runs is None or _VARIES.search(low):
-        runs = _WORD.findall(" ".join(t for t in low.split() if t[0] != "/" and not (t[0] == "[" and t[-1] == "]") and not _DIGIT.search(t)))
+        runs = _WORD.findall(" ".join([t for t in low.split() if t.isalpha() or not (t[0] == "/" or (t[0] == "[" and t[-1] == "]") or not _DIGITS.isdisjoint(t))]))
     return " ".join([w for w in runs if len(w) < 4 or w not in host])
 
 
@@ -100,11 +107,11 @@ def lines_of(kind: str, body: str | None) -> list[tuple[int, str, int]]:
         return []
     if kind == "page":
         return [(k + 1, b.text, b.links) for k, b in enumerate(blocks(body))]
-    return [(k + 1, x.strip(), sum(len(m[0]) for m in _HOST.finditer(x)) if "." in x or "#" in x else 0) for k, x in enumerate(body.split("\n")) if x.strip()]
+    return [(k + 1, x.strip(), sum(len(m[0]) for m in _HOST.finditer(x)) if _MAYBE_HOST.search(x) else 0) for k, x in enumerate(body.split("\n")) if x.strip()]
 
 
 def line_facts(x: str, host: str, filler: frozenset, cues) -> tuple:
-    """What depends on a line alone: (words, key, masked, letters, function words, cls, sent, words that aren't function words, CJK characters)."""
+    """What depends on a line alone: (words joined by spaces, key, masked, letters, function words, cls, sent, CJK characters)."""
     low = x.lower()
     runs = _WORD.findall(low)
     squeezed = "".join(runs)
@@ -113,22 +120,21 @@ def line_facts(x: str, host: str, filler: frozenset, cues) -> tuple:
         ws = [p for w in runs for p in ([w[i : i + 2] for i in range(len(w) - 1)] if len(w) > 1 and _CJK.match(w) else (w,))]
     else:
         ws = runs
-    letters = len(squeezed)
-    rest = [w for w in ws if w not in _FUNCTION]
-    func = len(ws) - len(rest) + (sum(c in _CJK_FUNCTION for c in x) if cjk * 2 > letters else 0)
-    own = len(set(ws))
+    n, letters = len(ws), len(squeezed)
+    func = len([w for w in ws if w in _FUNCTION]) + (len(_CJK_FUNCTION.findall(x)) if cjk * 2 > letters else 0)
+    every = set(ws)
+    own = len(every)
     cls = 0
     if slot_share(x) >= 0.35:
         cls = 1
-    elif len(ws) >= 4 and (own <= 3 and len(ws) >= 4 * own and len(_LISTED.findall(x)) < 2 or filler and sum(w in filler for w in ws) >= 0.8 * len(ws)):
+    elif n >= 4 and (own <= 3 and n >= 4 * own and len(_LISTED.findall(x)) < 2 or not filler.isdisjoint(every) and len([w for w in ws if w in filler]) >= 0.8 * n):
         cls = 2
-    elif cues(x):
+    elif cues(low):
         cls = 3
-    elif len(squeezed) > 3 and squeezed in host:
+    elif letters > 3 and squeezed in host:
         cls = 5
-    sent = int(len(ws) >= 5 and func >= 0.1 * len(ws) and own * 3 > min(len(ws), WINDOW))
-    key = hash64(squeezed)
-    return ws, key, hash64(mask(low, host, runs)), letters, func, cls, sent, rest, cjk
+    sent = int(n >= 5 and func >= 0.1 * n and own * 3 > min(n, WINDOW))
+    return " ".join(ws), hash64(squeezed), hash64(mask(low, host, runs)), letters, func, cls, sent, cjk
 
 
 def describe(kind: str, site: str, body: str | None, filler: frozenset, cues, known: dict | None = None) -> list[tuple]:
@@ -150,38 +156,48 @@ def describe(kind: str, site: str, body: str | None, filler: frozenset, cues, kn
         if (f := known.get((site, x))) is None:
             f = line_facts(x, host, filler, cues)
             if len(x) < 400:
-                if len(known) > 50_000:
+                if len(known) >= KEPT:
                     known.clear()
                 known[(site, x)] = f
         facts.append(f)
-    flow = [w for f in facts for w in f[0]]
+    words = [f[0].split() for f in facts]
+    flow = [w for ws in words for w in ws]
     every = Counter(flow)
     total = len(flow)
-    count = {w: n for w, n in every.items() if w not in _FUNCTION}
     votes = [0] * len(LANGS)
-    for w, n in every.items():
-        for k in _LANGS_OF.get(w, ()):
+    for w in _FUNCTION & every.keys():
+        n = every[w]
+        for k in _LANGS_OF[w]:
             votes[k] += n
-    letters, cjk = sum(f[3] for f in facts), sum(f[8] for f in facts)
+    letters, cjk = sum([f[3] for f in facts]), sum([f[7] for f in facts])
     if cjk * 3 > letters:
         votes[LANGS.index("ja" if any(_KANA.search(x) for _, x, _ in rows) else "zh")] += total
     # windows, so that the figures don't depend on the length of the record; a short rest joins the last
     cuts = [*range(0, max(1, total - WINDOW // 2), WINDOW), total]
     ratios, entropies = [], []
     for a, b in zip(cuts, cuts[1:]):
-        own, n = Counter(flow[a:b]), b - a
+        n = b - a
         if n > 1:
+            own = Counter(flow[a:b])
             ratios.append(len(own) / n)
-            entropies.append((log2(n) - sum(v * log2(v) for v in own.values() if v > 1) / n) / log2(n))
+            entropies.append((log2(n) - sum([v * log2(v) for v in own.values() if v > 1]) / n) / log2(n))
     mean = lambda v: int(1000 * sum(v) / len(v)) if v else 1000
-    top = sum(sorted((n for w, n in count.items() if len(w) > 2 or _CJK.match(w)), reverse=True)[:3]) * 1000 // max(1, total)
-    often = {w for w, n in count.items() if n >= 4}
+    top, seen, often = 0, 0, set()
+    for w, n in every.most_common():
+        if n < 4 and seen >= 3:
+            break
+        if w not in _FUNCTION:
+            if n >= 4:
+                often.add(w)
+            if seen < 3 and (len(w) > 2 or _CJK.match(w)):
+                top, seen = top + n, seen + 1
+    top = top * 1000 // max(1, total)
     linked = [kind == "page" and n >= 0.8 * len(x) and len(x) > 30 for _, x, n in rows] + [False]
-    out = [(0, 0, top, letters, total, mean(ratios), mean(entropies), sum(r[2] for r in rows), max(range(len(votes)), key=votes.__getitem__), len(rows))]
-    for k, ((no, x, links), (ws, key, masked, n, func, cls, sent, rest, _)) in enumerate(zip(rows, facts)):
+    out = [(0, 0, top, letters, total, mean(ratios), mean(entropies), sum([r[2] for r in rows]), max(range(len(votes)), key=votes.__getitem__), len(rows))]
+    for k, ((no, x, links), ws, (_, key, masked, n, func, cls, sent, _)) in enumerate(zip(rows, words, facts)):
         if linked[k + 1] and not links and len(x) < 60 and cls in (0, 5):
             cls = 6
-        out.append((no, key, masked, n, len(ws), func, sum(w in often for w in rest) if often else 0, links, cls, sent))
+        out.append((no, key, masked, n, len(ws), func, len([w for w in ws if w in often]) if often else 0, links, cls, sent))
     return out
 
 
@@ -194,17 +210,17 @@ def record_lines(records: DataFrame, filler: frozenset = frozenset(), cues=lambd
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for b in batches:
-            kinds, ids, sites, urls, bodies = (c.to_pylist() for c in b.columns)
-            at, rows = [], []
-            if len(known) > 50_000:
-                known.clear()
-            for k, (kind, site, body) in enumerate(zip(kinds, sites, bodies)):
-                own = describe(kind, site, body, filler, cues, known)
-                at += [k] * len(own)
-                rows += own
-            at = pa.array(at, pa.int32())
-            cols = [pa.array([r[j] for r in rows], t) for j, t in enumerate([pa.int32(), *types])]
-            yield pa.RecordBatch.from_arrays([*[b.column(j).take(at) for j in range(4)], *cols], names=names)
+            for start in range(0, b.num_rows, SLICE):
+                part = b.slice(start, SLICE)
+                kinds, sites, bodies = (part.column(j).to_pylist() for j in (0, 2, 4))
+                at, rows = [], []
+                for k, (kind, site, body) in enumerate(zip(kinds, sites, bodies)):
+                    own = describe(kind, site, body, filler, cues, known)
+                    at += [k] * len(own)
+                    rows += own
+                at = pa.array(at, pa.int32())
+                cols = [pa.array([r[j] for r in rows], t) for j, t in enumerate([pa.int32(), *types])]
+                yield pa.RecordBatch.from_arrays([*[part.column(j).take(at) for j in range(4)], *cols], names=names)
 
     return source.mapInArrow(run, SCHEMA)
 
