@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import boilerplate, encoding, language, mixing, packing, residue, sitelines, spam, splitting
 from corpusloom.llm.tokens import with_tokens
+from corpusloom.plans.joins import sized_join
+from corpusloom.plans.storage import materialize
 from corpusloom.sources.tables import table
 
 
@@ -34,8 +36,20 @@ def p1_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.examine(r, "body", encoding.train(r, "body"), restore=True)
 
 
+def odd_records(lines: DataFrame, headings: DataFrame | None = None) -> DataFrame:
+    """(record_kind, record_id) of the records of a line table that the operators on residue or on spam find."""
+    filled = materialize(residue.slots(lines), "filled")
+    return residue.residue(lines, headings, filled).unionByName(spam.spam(lines, filled=filled).filter("spam").select("record_kind", "record_id")).distinct()
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return boilerplate.boilerplate_lines(table(spark, d, "text_out"), boilerplate.train(table(spark, d, "pages"))).withColumnRenamed("id", "text_id")
+    """Texts of residue or spam aren't judged: the operators of problems 6 and 7 find them among the texts, and they are taken out before any line is labelled."""
+    texts = table(spark, d, "text_out").select("text_id", "base_domain", "url", "extracted_text")
+    weights, heads = boilerplate.train_with_headings(table(spark, d, "pages"))
+    sited = texts.select(F.lit("text").alias("record_kind"), F.col("text_id").alias("record_id"), F.col("base_domain").alias("site"), "url", F.col("extracted_text").alias("body"))
+    odd = odd_records(residue.line_table(sited), spark.createDataFrame([(h,) for h in heads], "masked long"))
+    judged = sized_join(texts, odd.select(F.col("record_id").alias("text_id")), ["text_id"], "left_anti")
+    return boilerplate.boilerplate_lines(judged, weights).withColumnRenamed("id", "text_id")
 
 
 def p2_main(spark: SparkSession, d: str) -> DataFrame:
@@ -74,15 +88,15 @@ def _sited(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return residue.residue(_sited(spark, d))
+    return residue.residue(residue.line_table(_sited(spark, d)))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return spam.spam(_sited(spark, d)).filter("spam").select("record_kind", "record_id")
+    return p7_scores(spark, d).filter("spam").select("record_kind", "record_id")
 
 
 def p7_scores(spark: SparkSession, d: str) -> DataFrame:
-    return spam.spam(_sited(spark, d))
+    return spam.spam(residue.line_table(_sited(spark, d)))
 
 
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:

@@ -68,9 +68,8 @@ def template_lines(lines: DataFrame) -> DataFrame:
     return seen.join(urls, ["kind", "site"]).filter(F.col("n") >= FIXED_SHARE * F.col("n_site")).select("kind", "site", "key", "masked", (F.col("n") / F.col("n_site")).alias("share"))
 
 
-def slots(lines: DataFrame, entries: bool = False) -> DataFrame:
-    """The line table without the template's fixed lines (those of the record's own site, and lines that are fixed on any other) and, unless
-    ``entries``, without entries of lists of other pages.
+def slots(lines: DataFrame) -> DataFrame:
+    """The line table without the template's fixed lines: those of the record's own site, and lines that are fixed on any other.
 
     A line that is unfilled, filler or a message stays, unless it stands on a third of its site's urls and so is furniture itself.
     """
@@ -80,29 +79,33 @@ def slots(lines: DataFrame, entries: bool = False) -> DataFrame:
     both = sized_join(own, anywhere, ["masked"], "left")
     odd = F.col("cls").isin(1, 2, 3)
     fixed_here = (F.col("share").isNotNull() & ~odd) | (F.coalesce("share", F.lit(0.0)) > 0.34)
-    left = both.filter(~(fixed_here | (F.col("known").isNotNull() & ~odd))).drop("share", "known")
-    return left if entries else without_entries(left, lines)
+    return both.filter(~(fixed_here | (F.col("known").isNotNull() & ~odd))).drop("share", "known")
 
 
-def without_entries(left: DataFrame, lines: DataFrame) -> DataFrame:
-    """Slots (``slots`` with ``entries``) without the entries of lists of other pages."""
+def without_entries(left: DataFrame, lines: DataFrame, headings: DataFrame | None = None) -> DataFrame:
+    """Slots (``slots``) without the entries of lists of other pages. ``headings``: (masked) of lines known as headings of such lists, beside those of the pages in ``lines``."""
     odd = F.col("cls").isin(1, 2, 3)
     # entries of lists of other pages fill no slot of the body: links of pages, and what follows in texts the lines that pages have as headings of such
-    headings = materialize(lines.filter("cls = 6").select("masked").filter("masked <> 0").distinct(), "headings")
+    own = lines.filter("cls = 6").select("masked")
+    headings = materialize((own.unionByName(headings) if headings is not None else own).filter("masked <> 0").distinct(), "headings")
     at = sized_join(lines.filter("no > 0 and kind = 'text'").select("id", "no", "masked"), headings, ["masked"]).groupBy("id").agg(F.collect_set("no").alias("heads")).select(F.lit("text").alias("kind"), "id", "heads")
     j = left.join(at, ["kind", "id"], "left")
     entry = F.coalesce(F.exists("heads", lambda h: (F.col("no") > h) & (F.col("no") <= h + ENTRIES)), F.lit(False)) | ((F.col("kind") == "page") & (F.col("links") >= 0.8 * F.col("letters")) & (F.col("letters") > 0))
     return j.filter(odd | ~entry).filter("cls <> 6").drop("heads")
 
 
-def residue(records: DataFrame) -> DataFrame:
-    """(record_kind, record_id) of the records (record_kind, record_id, site, url, body) whose body is nothing but such residue.
+def line_table(records: DataFrame) -> DataFrame:
+    """The table of lines (``SCHEMA``) of records (record_kind, record_id, site, url, body), written."""
+    return materialize(record_lines(records, filler_words(records), message), "lines")
+
+
+def residue(lines: DataFrame, headings: DataFrame | None = None, filled: DataFrame | None = None) -> DataFrame:
+    """(record_kind, record_id) of the records of a ``line_table`` whose body is nothing but such residue; ``headings`` as of ``without_entries``; ``filled``: ``slots`` of the table, if known.
 
     Records with a null or blank body, or with nothing but lines of the template, aren't found. Repeated rows come out once. Empty tables give no rows.
     """
-    lines = materialize(record_lines(records, filler_words(records), message), "lines")
-    filled = materialize(slots(lines, entries=True), "filled")
-    left = materialize(without_entries(filled, lines), "slots")
+    filled = materialize(slots(lines), "filled") if filled is None else filled
+    left = materialize(without_entries(filled, lines, headings), "slots")
     seen = left.filter("cls = 0 and letters > 0").select("masked", "url").distinct().groupBy("masked").agg(F.count("*").alias("n")).filter(F.col("n") >= MESSAGE_URLS)
     again = materialize(seen.select("masked", F.lit(True).alias("again")), "again")
     marked = sized_join(left, again, ["masked"], "left")

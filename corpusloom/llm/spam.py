@@ -11,8 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.lines import filler_words, record_lines
-from corpusloom.llm.residue import message, slots
+from corpusloom.llm.residue import slots
 from corpusloom.plans.storage import materialize
 
 #: Features, and the sign of spam in each.
@@ -30,11 +29,11 @@ FEW = 100
 FLOOR = 0.04
 
 
-def features(lines: DataFrame) -> DataFrame:
+def features(lines: DataFrame, filled: DataFrame | None = None) -> DataFrame:
     """(kind, id, lang, listed: number of lines of links, f: array of FEATURES): densities of the lines that aren't the site's template, and repetition over the record's windows. Records of mostly residue
     (``residue``) or with fewer than 8 words have none."""
     listed = (F.col("sent") == 0) & (F.col("recur") > 0) & (F.col("links") > 0)
-    own = slots(lines, entries=True).groupBy("kind", "id").agg(
+    own = (slots(lines) if filled is None else filled).groupBy("kind", "id").agg(
         *[F.sum(c).alias(c) for c in ("letters", "words", "func")],
         # links to other pages read as sentences or have words that the record doesn't repeat; those of lists of products or sites do
         F.sum(F.when(listed, F.col("links")).otherwise(0)).alias("links"), F.sum(listed.cast("int")).alias("listed"), F.sum(F.col("letters") * F.col("sent")).alias("sent"), F.sum(F.when(F.col("cls").isin(1, 2, 3), F.col("letters")).otherwise(0)).alias("odd")
@@ -97,19 +96,18 @@ def robust_model(f: DataFrame, steps: int = 2) -> dict[str, tuple[np.ndarray, np
     return model
 
 
-def spam(records: DataFrame, distance: float = DISTANCE, direction: float = DIRECTION) -> DataFrame:
-    """(record_kind, record_id, d2, along, spam) of the records (record_kind, record_id, site, url, body) that have at least 8 words of their own.
+def spam(lines: DataFrame, distance: float = DISTANCE, direction: float = DIRECTION, filled: DataFrame | None = None) -> DataFrame:
+    """(record_kind, record_id, d2, along, spam) of the records of a ``line_table`` that have at least 8 words of their own; ``filled``: its ``slots``, if known.
 
     Records with fewer words or a null body have no row and aren't spam. Empty tables give no rows.
     """
-    lines = materialize(record_lines(records, filler_words(records), message), "lines")
-    f = materialize(features(lines), "features")
+    f = materialize(features(lines, filled), "features")
     counts = {r["lang"]: r["n"] for r in f.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return records.sparkSession.createDataFrame([], "record_kind string, record_id long, d2 double, along double, spam boolean")
+        return lines.sparkSession.createDataFrame([], "record_kind string, record_id long, d2 double, along double, spam boolean")
     often = [k for k, n in counts.items() if n >= FEW]
     f = f.withColumn("g", F.when(F.col("lang").isin(often), F.col("lang").cast("string")).otherwise("other") if often else F.lit("other"))
-    at = _distance(records.sparkSession, f, robust_model(f))
+    at = _distance(lines.sparkSession, f, robust_model(f))
     place = [*FEATURES]
     z = lambda name: F.col("z")[place.index(name)]
     marked = (z("top") > TOP) | ((z("links") > LINKS) & (z("sent") > SENTENCES) & (F.col("listed") >= LISTED))

@@ -196,12 +196,12 @@ def test_residue_and_spam(spark):
     odd = [("text", 700, "s.example", "u", None), ("text", 701, None, None, ""), ("page", 702, "s.example", "u", "<p>" + "long words of the text that is here and there. " * 3000)]
     rows = normal + [("text", i, "s.example", f"https://s/b{i}", b) for i, b in (bad | spam_).items()] + odd + [normal[0]]
     df = spark.createDataFrame(rows, "record_kind string, record_id long, site string, url string, body string").withColumn("kind", F.lit("clash"))
-    got = {r["record_id"] for r in residue.residue(df).collect()}
+    got = {r["record_id"] for r in residue.residue(residue.line_table(df)).collect()}
     assert got == set(bad)
-    marked = {r["record_id"] for r in spam.spam(df).filter("spam").collect()}
+    marked = {r["record_id"] for r in spam.spam(residue.line_table(df)).filter("spam").collect()}
     assert set(spam_) <= marked and not marked & set(range(120)) and not marked & set(bad)
     empty = df.limit(0)
-    assert residue.residue(empty).count() == 0 and spam.spam(empty).count() == 0
+    assert residue.residue(residue.line_table(empty)).count() == 0 and spam.spam(residue.line_table(empty)).count() == 0
 
 
 def test_long_messages(spark):
@@ -214,7 +214,7 @@ def test_long_messages(spark):
     bad = {500: f"Home | News | Shop\n{demand}", 501: errors, 502: mention}
     rows += [("text", i, "s.example", f"https://s/b{i}", b) for i, b in bad.items()]
     df = spark.createDataFrame(rows, "record_kind string, record_id long, site string, url string, body string")
-    assert {r["record_id"] for r in residue.residue(df).collect()} == {500, 501}
+    assert {r["record_id"] for r in residue.residue(residue.line_table(df)).collect()} == {500, 501}
 
 
 def test_residue_by_repetition(spark):
@@ -227,7 +227,7 @@ def test_residue_by_repetition(spark):
     quoted = [("text", 600 + i, "t.example", f"https://t/{i}", f"Blena korst ump.\nStory number {'abcdefghij'[i] * 3} of the day.") for i in range(6)] + [("text", 610 + i, "t.example", f"https://t/b{i}", "Blena korst ump.") for i in range(4)]
     rows += [("text", i, "s.example", f"https://s/b{i}", b) for i, b in (want | other).items()] + quoted
     df = spark.createDataFrame(rows, "record_kind string, record_id long, site string, url string, body string")
-    assert {r["record_id"] for r in residue.residue(df).collect()} == set(want)
+    assert {r["record_id"] for r in residue.residue(residue.line_table(df)).collect()} == set(want)
 
 
 def test_queries_against_sql(spark):
