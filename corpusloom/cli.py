@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import logging
+import os
 import sys
 
 from corpusloom.config import CrawlConfig, exclude_patterns
@@ -27,13 +28,33 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
         g.add_argument(f"--{name}", dest=name.replace("-", "_"), action="store_true", default=True)
         g.add_argument(f"--no-{name}", dest=name.replace("-", "_"), action="store_false")
     p.add_argument("--max-rounds", type=int, default=None)
+    p.add_argument("--round-urls", type=int, default=None, help="urls of a domain in one round")
+    p.add_argument("--layout", choices=("tables", "files"), default="tables", help="write Parquet tables, or a file for each page, text and document below OUT/domain, which all executors must have mounted")
     p.add_argument("--corpus", help="answer from this Parquet table of pages instead of the network")
     p.add_argument("--out", default="data")
     return p.parse_args(argv)
 
 
 def config_of(a: argparse.Namespace) -> CrawlConfig:
-    return CrawlConfig(max_concurrent=a.concurrency, timeout=a.timeout, delay=a.delay, strip_tracking=a.strip_tracking_params, use_sitemap=a.use_sitemap, excludes=exclude_patterns(a.exclude_pattern, not a.no_default_excludes), max_rounds=a.max_rounds)
+    return CrawlConfig(max_concurrent=a.concurrency, timeout=a.timeout, delay=a.delay, strip_tracking=a.strip_tracking_params, use_sitemap=a.use_sitemap, excludes=exclude_patterns(a.exclude_pattern, not a.no_default_excludes), max_rounds=a.max_rounds, round_urls=a.round_urls, per_host=a.concurrency)
+
+
+def start_log(out: str) -> None:
+    """Log to the terminal, and with details to ``out/logs/crawl.log`` where that is a folder of this machine."""
+    log.setLevel(logging.DEBUG)
+    log.propagate = False
+    for h in list(log.handlers):
+        log.removeHandler(h)
+        h.close()
+    shown = logging.StreamHandler()
+    shown.setLevel(logging.INFO)
+    handlers = [(shown, "%(message)s")]
+    if "://" not in out:
+        os.makedirs(f"{out}/logs", exist_ok=True)
+        handlers.append((logging.FileHandler(f"{out}/logs/crawl.log"), "%(asctime)s %(levelname)s %(message)s"))
+    for h, form in handlers:
+        h.setFormatter(logging.Formatter(form))
+        log.addHandler(h)
 
 
 def sitemap_seeds(spark, seeds, config: CrawlConfig, fetcher):
@@ -59,7 +80,7 @@ def main(argv: list[str] | None = None) -> int:
         return 1
     from pyspark.sql import SparkSession
 
-    from corpusloom.operators.sinks import summary, write_corpus, write_list
+    from corpusloom.operators.sinks import report, report_lines, write_corpus, write_list, write_tree
     from corpusloom.plans.engine import CrawlEngine
     from corpusloom.plans.state import CrawlState
     from corpusloom.sources.fetch import CorpusFetcher, HttpFetcher
@@ -67,6 +88,7 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = SparkSession.builder.appName("corpusloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     config = config_of(a)
+    start_log(a.out)
     seeds = collect(spark, a.url, a.file, a.retry)
     if seeds.isEmpty():
         print("no urls given", file=sys.stderr)
@@ -76,11 +98,17 @@ def main(argv: list[str] | None = None) -> int:
     if config.use_sitemap:
         start = start.unionByName(sitemap_seeds(spark, seeds, config, fetcher))
     result = CrawlEngine(spark, config, fetcher, CrawlState(spark, f"{a.out}/state")).run(start, fresh=a.fresh, retry=bool(a.retry))
-    write_corpus(result.pages, f"{a.out}/pages")
-    write_list(result.visited.filter("outcome = 'denied'"), f"{a.out}/access_denied")
-    if write_list(result.visited.filter("outcome = 'failed'"), f"{a.out}/failed_urls"):
-        print(f"failed urls are in {a.out}/failed_urls; give them to --retry")
-    print(summary(result.stats).first().asDict() | {"visited": result.visited.count()})
+    for kind, rows, content in (("pages", result.pages, "html"), ("text", result.texts, "text"), ("files", result.files, "content")):
+        if a.layout == "files":
+            write_tree(rows, os.path.abspath(a.out), kind, content)
+        else:
+            write_corpus(rows, f"{a.out}/{kind}")
+    write_list(result.visited.filter("outcome = 'denied'"), f"{a.out}/logs/access_denied")
+    failed = write_list(result.visited.filter("outcome = 'failed'"), f"{a.out}/logs/failed_urls")
+    for line in report_lines(report(result.stats, result.visited.count(), result.seconds, a.out)):
+        log.info(line)
+    if failed:
+        log.info("failed urls are in %s/logs/failed_urls; give them to --retry", a.out)
     return 0
 
 

@@ -35,7 +35,7 @@ DENIED_PHRASE, DENIED_LENGTH = "Access Denied", 2000
 
 @dataclass(frozen=True)
 class CrawlConfig:
-    """Settings of one crawl. ``None`` means no limit."""
+    """Settings of one crawl. ``None`` means no limit. ``round_urls``: so many urls of a domain are fetched in one round, the rest wait; ``per_host``: so many at a time."""
 
     max_concurrent: int = 100
     timeout: float = 30.0
@@ -48,6 +48,8 @@ class CrawlConfig:
     excludes: tuple[str, ...] = field(default=EXCLUDES)
     strict_domain: bool = False
     max_rounds: int | None = None
+    round_urls: int | None = None
+    per_host: int = 100
     user_agent: str = "corpusloom/0.1"
 
 

@@ -35,15 +35,15 @@ def file_name(url: Column, content_type: Column) -> Column:
     return F.when((p == "") | F.endswith(p, F.lit("/")), made).otherwise(F.regexp_replace(F.element_at(F.split(p, "/"), -1), UNSAFE, "_"))
 
 
-def numbered(df: DataFrame, group: list[str], stem: str, order: list[str], out: str, extension: str = "", salt: int = 1) -> DataFrame:
-    """``out``: ``stem``, or ``stem_1``, ``stem_2`` and so on where rows of a group share it, in the given order; then the extension.
+def numbered(df: DataFrame, group: list[str], stem: str, order: list[str], out: str, extension: str | Column = "") -> DataFrame:
+    """``out``: ``stem``, or ``stem_1``, ``stem_2`` and so on where rows of a group share it, in the given order; then the extension. No two rows of a group get one name.
 
-    A made name that another row has by nature is told apart by further rounds of numbers, until all names of a group differ.
+    Two made names can't be the same, since their last number tells their stems. One that is also the stem of another row becomes ``stem~1``: a tilde stands in no stem (``UNSAFE``).
     """
-    w = W.partitionBy(*group, stem).orderBy(*order)
-    n = F.row_number().over(w) - 1
-    named = df.withColumn("__n", n).withColumn(out, F.when(F.col("__n") == 0, F.col(stem)).otherwise(F.concat(F.col(stem), F.lit("_"), F.col("__n").cast("string"))))
-    again = W.partitionBy(*group, out).orderBy("__n", *order)
-    m = F.row_number().over(again) - 1
-    # a clash of a made name with a natural one: the made one gets one more number
-    return named.withColumn("__m", m).withColumn(out, F.concat(F.when(F.col("__m") == 0, F.col(out)).otherwise(F.concat(F.col(out), F.lit("_"), F.col("__m").cast("string"))), F.lit(extension))).drop("__n", "__m")
+    n = F.row_number().over(W.partitionBy(*group, stem).orderBy(*order)) - 1
+    made = F.concat(F.col(stem), F.lit("_"), F.col("__n").cast("string"))
+    named = df.withColumn("__n", n).withColumn(out, F.when(F.col("__n") == 0, F.col(stem)).otherwise(made))
+    taken = F.min("__n").over(W.partitionBy(*group, out)) == 0
+    apart = F.when((F.col("__n") > 0) & F.col("__taken"), F.concat(F.col(stem), F.lit("~"), F.col("__n").cast("string"))).otherwise(F.col(out))
+    end = F.lit(extension) if isinstance(extension, str) else extension
+    return named.withColumn("__taken", taken).withColumn(out, F.concat(apart, end)).drop("__n", "__taken")

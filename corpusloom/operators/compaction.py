@@ -8,6 +8,7 @@ manifest holds container, place, length and SHA-256 of each member, and ``verify
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ from corpusloom.plans.storage import materialize, shared_dir
 #: Bytes of content in a container.
 TARGET = 64 << 20
 _BOM, _ZSTD = b"\xef\xbb\xbf", b"\x28\xb5\x2f\xfd"
-MANIFEST = "container string, seq int, offset long, stored long, length long, sha256 string"
+MANIFEST = "container string, seq int, offset long, stored long, length long, sha256 string, stored_sha256 string"
 
 
 def line_member(data: bytes, first: bool, header: bool = False) -> bytes:
@@ -108,7 +109,10 @@ def compact(members: DataFrame, body: str, folder: str | None = None, kind: str
         raise ValueError(f"no kind {kind}")
     spark = members.sparkSession
     folder = folder or f"{shared_dir(spark)}/corpusloom/containers-{uuid.uuid4().hex}"
-    uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    # a folder without a scheme lies in the cluster's default file system
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    uri = re.sub(r"^file:/+", "file:///", uri)
     own = {x.split()[0] for x in MANIFEST.split(", ")}
     keep = [c for c in members.columns if c != body and c not in own]
     source = members.select(*keep, F.col(body).cast("binary").alias("__body")).filter("__body is not null")
@@ -131,8 +135,8 @@ def compact(members: DataFrame, body: str, folder: str | None = None, kind: str
                 if kind == "zstd" and not frames_complete(data):
                     raise ValueError("a member isn't a complete zstandard frame")
                 stored = as_frame(data) if kind == "frame" else data if kind == "zstd" else line_member(data, out.seq == 0 or out.content + len(data) > target, header)
-                rows.append((*out.add(stored, len(data)), len(data), hashlib.sha256(data).hexdigest()))
-            cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()))]
+                rows.append((*out.add(stored, len(data)), len(data), hashlib.sha256(data).hexdigest(), hashlib.sha256(stored).hexdigest()))
+            cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=schema.names)
         out.close()
 
@@ -142,10 +146,10 @@ def compact(members: DataFrame, body: str, folder: str | None = None, kind: str
 def verify(manifest: DataFrame, folder: str, kind: str = "frame") -> DataFrame:
     """(container, n_members, n_bytes, n_stored, ok): each container read once and held against the manifest.
 
-    ok: the file is as long as its members, they lie side by side, and each member's length and SHA-256 are those of its content (for ``lines`` only lengths,
-    since line ends may have been added).
+    ok: the file is as long as its members, they lie side by side, the SHA-256 of each member's stored bytes is the manifest's, and its length and SHA-256 are those of its content (not for
+    ``lines``, since line ends may have been added).
     """
-    per = manifest.groupBy("container").agg(F.sort_array(F.collect_list(F.struct("seq", "offset", "stored", "length", "sha256"))).alias("m"))
+    per = manifest.groupBy("container").agg(F.sort_array(F.collect_list(F.struct("seq", "offset", "stored", "length", "sha256", "stored_sha256"))).alias("m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -162,6 +166,7 @@ def verify(manifest: DataFrame, folder: str, kind: str = "frame") -> DataFrame:
                     ok &= m["seq"] == k and m["offset"] == at
                     part = data[at : at + m["stored"]]
                     at += m["stored"]
+                    ok &= hashlib.sha256(part).hexdigest() == m["stored_sha256"]
                     if kind != "lines":
                         content = d.decompress(part) if kind == "frame" else bytes(part)
                         ok &= len(content) == m["length"] and hashlib.sha256(content).hexdigest() == m["sha256"]

@@ -140,8 +140,8 @@ SQL = {
     "file_ext": f"SELECT url, {extension('url', 'ct')} AS ext FROM (SELECT DISTINCT url, content_type AS ct FROM pages UNION SELECT DISTINCT url, NULL FROM visited)",
     "collision_suffix": f"""WITH s AS (SELECT {netloc('url')} AS netloc, page_id, {stem('url')} AS stem FROM pages),
 n AS (SELECT *, row_number() OVER (PARTITION BY netloc, stem ORDER BY page_id) - 1 AS k FROM s), f AS (SELECT *, CASE WHEN k = 0 THEN stem ELSE stem || '_' || k END AS f FROM n),
-m AS (SELECT *, row_number() OVER (PARTITION BY netloc, f ORDER BY k, page_id) - 1 AS j FROM f)
-SELECT netloc, page_id, CASE WHEN j = 0 THEN f ELSE f || '_' || j END || '.html' AS filename FROM m""",
+m AS (SELECT *, min(k) OVER (PARTITION BY netloc, f) AS j FROM f)
+SELECT netloc, page_id, CASE WHEN k > 0 AND j = 0 THEN stem || '~' || k ELSE f END || '.html' AS filename FROM m""",
     "file_dedup": "SELECT min(doc_id) AS doc_id, md5(text) AS md5 FROM documents WHERE text IS NOT NULL GROUP BY 2",
     "extract_links": f"WITH {HREFS} SELECT page_id, href FROM hrefs",
     "resolve_links": f"WITH {HREFS}, {RESOLVED} SELECT page_id, norm_url FROM links",
@@ -165,8 +165,8 @@ SELECT host, url_norm, min(rnk) AS rnk FROM n WHERE {netloc('url_norm')} = host
     "multi_domain_crawl": f"""WITH RECURSIVE {HREFS.replace('html_content', 'content')}, {RESOLVED}, {PAGES}, {NORM}, {CORPUS}, s AS (SELECT {netloc('u')} AS netloc, arg_min(u, page_id) AS u FROM pn GROUP BY 1),
 hop AS (SELECT c.u AS src, l.netloc, l.norm_url AS dst FROM corpus c JOIN links l ON l.page_id = c.page_id WHERE {netloc('l.norm_url')} = l.netloc AND NOT {excluded('l.norm_url')}),
 r AS (SELECT netloc, u AS url FROM s UNION SELECT h.netloc, h.dst FROM r JOIN hop h ON h.src = r.url) SELECT netloc, count(DISTINCT url) AS visited FROM r GROUP BY 1""",
-    "crawl_stats": f"""WITH o AS ({OUT}), j AS (SELECT {netloc('o.url')} AS netloc, o.outcome, strlen(p.content) AS n FROM o JOIN pages p USING (page_id))
-SELECT netloc, count(*) FILTER (outcome = 'page') AS pages_downloaded, count(*) FILTER (outcome = 'file') AS files_downloaded, count(*) FILTER (outcome = 'failed') AS errors, count(*) FILTER (outcome = 'denied') AS denied,
+    "crawl_stats": f"""WITH o AS ({OUT}), j AS (SELECT {netloc('o.url')} AS netloc, o.outcome, page_id, strlen(p.content) AS n FROM o JOIN pages p USING (page_id))
+SELECT netloc, count(*) FILTER (outcome = 'page') AS pages_downloaded, count(*) FILTER (outcome = 'file') AS files_downloaded, count(*) FILTER (outcome = 'page' AND page_id IN (SELECT page_id FROM text_out WHERE regexp_matches(extracted_text, '\\S') AND page_id IS NOT NULL)) AS text_extracted, count(*) FILTER (outcome = 'failed') AS errors, count(*) FILTER (outcome = 'denied') AS denied,
 CAST(coalesce(sum(n) FILTER (outcome IN ('page', 'file')), 0) AS BIGINT) AS total_bytes FROM j GROUP BY 1""",
     "visited_count": "SELECT base_domain AS netloc, count(DISTINCT url) AS visited FROM visited GROUP BY 1",
     "denied_urls": "SELECT DISTINCT url FROM visited WHERE outcome = 'denied'",
@@ -175,13 +175,18 @@ CAST(coalesce(sum(n) FILTER (outcome IN ('page', 'file')), 0) AS BIGINT) AS tota
     "resume_frontier": f"WITH RECURSIVE {EDGES}, r AS (SELECT '/c/1' AS url, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN edges e ON e.src = r.url WHERE r.depth < 4), d AS (SELECT url, min(depth) AS depth FROM r GROUP BY url) SELECT url FROM d WHERE depth = 3",
     "page_sink": f"""WITH s AS (SELECT {netloc('url')} AS netloc, page_id, {stem('url')} AS stem, strlen(content) AS b FROM pages),
 n AS (SELECT *, row_number() OVER (PARTITION BY netloc, stem ORDER BY page_id) - 1 AS k FROM s), f AS (SELECT *, CASE WHEN k = 0 THEN stem ELSE stem || '_' || k END AS f FROM n),
-m AS (SELECT *, row_number() OVER (PARTITION BY netloc, f ORDER BY k, page_id) - 1 AS j FROM f)
-SELECT netloc, page_id, CASE WHEN j = 0 THEN f ELSE f || '_' || j END || '.html' AS filename, CAST(b AS BIGINT) AS n_bytes FROM m""",
+m AS (SELECT *, min(k) OVER (PARTITION BY netloc, f) AS j FROM f)
+SELECT netloc, page_id, CASE WHEN k > 0 AND j = 0 THEN stem || '~' || k ELSE f END || '.html' AS filename, CAST(b AS BIGINT) AS n_bytes FROM m""",
     "text_sink": f"""WITH s AS (SELECT {netloc('url')} AS netloc, text_id, {stem('url')} AS stem FROM text_out WHERE regexp_matches(extracted_text, '\\S')),
 n AS (SELECT *, row_number() OVER (PARTITION BY netloc, stem ORDER BY text_id) - 1 AS k FROM s), f AS (SELECT *, CASE WHEN k = 0 THEN stem ELSE stem || '_' || k END AS f FROM n),
-m AS (SELECT *, row_number() OVER (PARTITION BY netloc, f ORDER BY k, text_id) - 1 AS j FROM f)
-SELECT netloc, text_id, CASE WHEN j = 0 THEN f ELSE f || '_' || j END || '.txt' AS filename FROM m""",
+m AS (SELECT *, min(k) OVER (PARTITION BY netloc, f) AS j FROM f)
+SELECT netloc, text_id, CASE WHEN k > 0 AND j = 0 THEN stem || '~' || k ELSE f END || '.txt' AS filename FROM m""",
     "progress_window": "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, count(*) AS n, count(*) FILTER (event_type = 'error') AS n_error FROM events GROUP BY 1",
 }
-SQL["crawl_summary"] = f"SELECT CAST(sum(pages_downloaded) AS BIGINT) AS pages_downloaded, CAST(sum(files_downloaded) AS BIGINT) AS files_downloaded, CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(denied) AS BIGINT) AS denied, CAST(sum(total_bytes) AS BIGINT) AS total_bytes, round(sum(total_bytes) / 1048576.0, 2) AS total_mib FROM ({SQL['crawl_stats']})"
+SQL["crawl_summary"] = f"SELECT CAST(sum(pages_downloaded) AS BIGINT) AS pages_downloaded, CAST(sum(files_downloaded) AS BIGINT) AS files_downloaded, CAST(sum(text_extracted) AS BIGINT) AS text_extracted, CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(denied) AS BIGINT) AS denied, CAST(sum(total_bytes) AS BIGINT) AS total_bytes, round(sum(total_bytes) / 1048576.0, 2) AS total_mib FROM ({SQL['crawl_stats']})"
+SQL["page_names_distinct"] = f"SELECT {netloc('url')} AS netloc, count(*) AS n_pages, count(*) AS n_names FROM pages GROUP BY 1"
+SQL["file_sink"] = f"""WITH v AS (SELECT DISTINCT base_domain AS netloc, url FROM visited WHERE {downloadable('url')}), w AS (SELECT netloc, url, {file_name('url', 'NULL')} AS whole FROM v),
+e AS (SELECT *, regexp_extract(whole, '^.+?(\\.[^.]*)$', 1) AS ending FROM w), s AS (SELECT *, left(whole, length(whole) - length(ending)) AS stem FROM e),
+n AS (SELECT *, row_number() OVER (PARTITION BY netloc, ending, stem ORDER BY url) - 1 AS k FROM s), f AS (SELECT *, CASE WHEN k = 0 THEN stem ELSE stem || '_' || k END AS f FROM n),
+m AS (SELECT *, min(k) OVER (PARTITION BY netloc, ending, f) AS j FROM f) SELECT netloc, url, CASE WHEN k > 0 AND j = 0 THEN stem || '~' || k ELSE f END || ending AS filename FROM m"""
 SQL["stats_roundtrip"] = SQL["crawl_stats"]

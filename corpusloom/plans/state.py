@@ -7,6 +7,7 @@ systems, so a root may lie on any that the cluster has.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class CrawlState:
@@ -47,6 +48,16 @@ class CrawlState:
         ns = [n for n in self.rounds() if last is None or n <= last]
         return self.spark.read.parquet(*[f"{self.root}/round={n}/{name}" for n in ns]) if ns else None
 
+    def stats(self) -> DataFrame | None:
+        """The counters that the committed rounds stored, summed for each domain."""
+        rows = self.read_all("stats")
+        return rows.groupBy("netloc").agg(*[F.sum(c).alias(c) for c in rows.columns if c != "netloc"]) if rows is not None else None
+
+    def known_hashes(self) -> DataFrame | None:
+        """(netloc, hash) of the files of all committed rounds."""
+        rows = self.read_all("files")
+        return rows.select("netloc", "hash").distinct() if rows is not None else None
+
     def clear(self) -> None:
         """Forget everything."""
         self._fs().delete(self._path(self.root), True)

@@ -17,6 +17,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+#: Tables written on the way, by application.
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="corpusloom-")
@@ -55,10 +59,21 @@ def materialize(df: DataFrame, name: str = "table", partitions: int | None = Non
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     (df.coalesce(partitions) if partitions else df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the tables that this application has written on the way, once what was made of them is stored; how many there were. DataFrames that read them can't be used any more."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm, hconf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(hconf).delete(p, True)
+    return len(paths)
+
+
 def stored_bytes(df: DataFrame) -> int:
     """Bytes of the files behind a table that ``materialize`` returned."""
     spark = df.sparkSession

@@ -221,6 +221,8 @@ def url_outcome(spark: SparkSession, d: str) -> DataFrame:
 def _outcomes(spark: SparkSession, d: str) -> DataFrame:
     p = _pages(spark, d).withColumn("n_bytes", F.octet_length("content").cast("long")).withColumn("kind", content.kind(F.col("url"), F.col("content_type")))
     lost = F.col("content").isNull() & F.col("http_status").isNull()
+    texts = table(spark, d, "text_out").filter(F.rlike("extracted_text", F.lit(r"\S"))).select("page_id", F.lit(True).alias("__text")).distinct()
+    p = p.join(texts, "page_id", "left").withColumn("has_text", F.col("__text").isNotNull())
     return p.withColumn("outcome", content.outcome(F.col("kind"), F.col("http_status"), F.col("content"), F.col("n_bytes"), lost, 5000)).withColumn("netloc", urls.netloc(F.col("url")))
 
 
@@ -297,6 +299,23 @@ def text_sink(spark: SparkSession, d: str) -> DataFrame:
     return sinks.page_files(t, "text_id", "url", "extracted_text", ".txt").drop("n_bytes")
 
 
+def page_names_distinct(spark: SparkSession, d: str) -> DataFrame:
+    """An invariant of ``page_sink``: no two pages of a domain have one name."""
+    return page_sink(spark, d).groupBy("netloc").agg(F.count("*").alias("n_pages"), F.countDistinct("filename").alias("n_names"))
+
+
+def file_sink(spark: SparkSession, d: str) -> DataFrame:
+    """Names of the documents that a crawl would store, a number before the extension where urls share one."""
+    v = table(spark, d, "visited").select(F.col("base_domain").alias("netloc"), "url", F.lit(None).cast("string").alias("content_type")).distinct().filter(urls.downloadable(F.col("url")))
+    return sinks.named_files(v, ["url"]).select("netloc", "url", "filename")
+
+
+def page_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Links and text of every page by one parse."""
+    p = links.parsed_pages(_pages(spark, d).select("page_id", "url", F.col("html_content").alias("html")))
+    return p.select("page_id", F.size("links").alias("n_links"), F.coalesce(F.length("text"), F.lit(0)).alias("text_chars"))
+
+
 def progress_window(spark: SparkSession, d: str) -> DataFrame:
     return streams.progress_windows(table(spark, d, "events"), "ts", F.col("event_type") == "error")
 
@@ -306,7 +325,7 @@ QUERIES = {
     for f in (
         normalize_url, url_parts, url_domain, strip_tracking, url_distinct, exclude_filter, exclude_custom, download_filter, classify_kind, charset_choice, denied_detect, oversize_filter, page_stem, file_name, file_ext, collision_suffix,
         file_dedup, extract_links, resolve_links, same_domain_links, asset_links, parsed_links, extract_text, text_dedup, seed_collect, seeds_by_domain, sitemap_locs, sitemap_seed, frontier_antijoin, frontier_batch, fetch_corpus, url_outcome,
-        crawl_closure, bfs_depth, resume_frontier, multi_domain_crawl, crawl_stats, crawl_summary, stats_roundtrip, visited_count, denied_urls, failed_urls, retry_outcome, page_sink, text_sink, progress_window, p5_found, p5_manifest, p5_verify,
+        crawl_closure, bfs_depth, resume_frontier, multi_domain_crawl, crawl_stats, crawl_summary, stats_roundtrip, visited_count, denied_urls, failed_urls, retry_outcome, page_sink, page_names_distinct, text_sink, file_sink, page_parse, progress_window, p5_found, p5_manifest, p5_verify,
     )
 }
 

@@ -54,7 +54,7 @@ def get(url: str, config: CrawlConfig, opener=None) -> tuple:
 
 
 class HttpFetcher:
-    """Fetches over HTTP in the executors, partitioned by domain, with a pause before each request; the result is written once before it is used, since a plan may be run twice."""
+    """Fetches over HTTP in the executors, in at most ``max_concurrent`` tasks, of a domain at most ``per_host`` of them, with a pause before each request; responses are closed after each; the result is written once before it is used, since a plan may be run twice."""
 
     def __init__(self, config: CrawlConfig):
         self.config = config
@@ -74,6 +74,6 @@ class HttpFetcher:
                     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=names)
 
         parts = max(1, min(config.max_concurrent, 1000))
-        rows = materialize(frontier.select("netloc", "url").repartition(parts, "netloc", F.pmod(F.hash("url"), F.lit(8))).mapInArrow(run, RESPONSE), "fetched")
+        rows = materialize(frontier.select("netloc", "url").repartition(parts, "netloc", F.pmod(F.hash("url"), F.lit(max(1, config.per_host)))).mapInArrow(run, RESPONSE), "fetched")
         k = kind_of(F.col("url"), F.col("content_type"))
         return rows.select("netloc", "url", "status", "content_type", F.when(k == "html", decode(F.col("body"), charset(F.col("charset")))).alias("html"), F.octet_length("body").cast("long").alias("n_bytes"), k.alias("kind"), "error", "body", "attempts")

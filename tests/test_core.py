@@ -104,3 +104,30 @@ def test_bfs_depth_against_brute_force(spark, tmp_path):
     assert max(want.values()) > 12
     got = __spark_entry__.queries()["bfs_depth"](spark, str(tmp_path)).collect()
     assert len(got) == len(want) and {r["url"]: r["depth"] for r in got} == want
+
+
+def test_container_folder_in_the_default_file_system(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "x"), (2, "y\nz")], "k int, body string")
+    hconf = spark.sparkContext._jsc.hadoopConfiguration()
+    before = hconf.get("fs.defaultFS")
+    hconf.set("fs.defaultFS", "file:///")
+    try:
+        manifest, uri = compaction.compact(rows, "body", str(tmp_path / "c"), "lines")
+    finally:
+        hconf.set("fs.defaultFS", before)
+    assert uri == f"file://{tmp_path}/c" and all(r["ok"] for r in compaction.verify(manifest, uri, "lines").collect())
+    # a byte that changes within a line is noticed
+    f = next(p for p in (tmp_path / "c").iterdir() if not p.name.startswith("."))
+    f.write_bytes(f.read_bytes().replace(b"x", b"q"))
+    (tmp_path / "c" / f".{f.name}.crc").unlink(missing_ok=True)
+    assert not all(r["ok"] for r in compaction.verify(manifest, uri, "lines").collect())
+
+
+def test_tables_on_the_way_can_be_deleted(spark):
+    from pathlib import Path
+
+    from corpusloom.plans.storage import materialize, release, shared_dir
+
+    materialize(spark.range(3), "gone")
+    assert list(Path(shared_dir(spark)).glob("corpusloom/gone-*"))
+    assert release(spark) > 0 and not list(Path(shared_dir(spark)).glob("corpusloom/gone-*"))

@@ -28,6 +28,22 @@ def test_numbering_is_unique(spark):
     assert got[1] == "a.txt" and got[5] == "a.txt" and len({(("g" if i == 5 else "h"), n) for i, n in got.items()}) == 5
 
 
+def test_made_names_never_meet_natural_ones(spark):
+    stems = ["a", "a", "a_1", "a_1", "a_1_1", "a", "b", "a_1_1", "b_1"]
+    df = spark.createDataFrame([(i, "h", s) for i, s in enumerate(stems)], "i int, g string, s string")
+    got = [r["n"] for r in names.numbered(df, ["g"], "s", ["i"], "n").orderBy("i").collect()]
+    assert len(set(got)) == len(stems) and got[0] == "a" and got[2] == "a_1" and got[1] == "a~1" and got[5] == "a_2"
+    files = spark.createDataFrame([("h", f"https://h/{i}/r.pdf", None) for i in range(3)] + [("h", "https://h/.pdf", None), ("h", "https://h/r", "application/pdf")], "netloc string, url string, content_type string")
+    assert sorted(r["filename"] for r in sinks.named_files(files, ["url"]).collect()) == [".pdf", "r", "r.pdf", "r_1.pdf", "r_2.pdf"]
+
+
+def test_parse_page():
+    html = "<nav><a href='/n'>menu</a></nav><main><h1>T</h1><p>a&amp;b <b>c</b><br>d<p>d<table><tr><td>x<td>y</table><script>no()</script></main><footer>f</footer>"
+    found, text_ = links.parse_page(html, "https://x.com/")
+    assert found == [("a", "https://x.com/n")] and text_ == "T\na&b c\nd\nx | y"
+    assert links.parse_page("<p>one<p>two <nav>m", "u")[1] == "one\ntwo" and links.parse_page(None, "u") == ([], None) and links.parse_page("<article></article><p>z</p>", "u")[1] == "z"
+
+
 def test_content(spark):
     rows = [("https://x/A.PDF", None, 200, "x"), ("https://x/a", "Application/PDF; charset=x", 200, "x"), ("https://x/a", "image/png", 200, "x"), ("https://x/a", "text/html", 403, "x"), ("https://x/a", "text/html", 200, "Access Denied" + "x" * 1986), ("https://x/a", "text/html", 200, "Access Denied" + "x" * 1987), ("https://x/a", "text/html", 404, "access denied"), ("https://x/a", None, None, None)]
     df = spark.createDataFrame(rows, "u string, c string, s int, h string")
@@ -111,6 +127,13 @@ def test_engine_resume_and_retry(spark, corpus, tmp_path):
     assert outcomes(whole) == WANT
     stats = whole.stats.first().asDict()
     assert (stats["pages_downloaded"], stats["files_downloaded"], stats["errors"], stats["denied"]) == (3, 1, 1, 1)
+    assert stats["text_extracted"] == 3 and {r["filename"]: r["text"].split("\n")[0] for r in whole.texts.collect()}.keys() == {"index.txt", "a.txt", "b.txt"}
+    assert [(r["filename"], bytes(r["content"])) for r in whole.files.collect()] == [("f.pdf", b"same")] and {r["filename"] for r in whole.pages.collect()} == {"index.html", "a.html", "b.html"}
+    stored = CrawlState(spark, str(tmp_path / "a"))
+    assert stored.stats().first()["pages_downloaded"] == 3 and stored.known_hashes().count() == 1
+    # one url of a domain in a round gives the same in more rounds
+    slow = CrawlEngine(spark, CrawlConfig(round_urls=1), fetch.CorpusFetcher(pages), CrawlState(spark, str(tmp_path / "s"))).run(start)
+    assert outcomes(slow) == WANT
     # stopped after one round, then resumed
     state = CrawlState(spark, str(tmp_path / "b"))
     CrawlEngine(spark, CrawlConfig(max_rounds=1), fetch.CorpusFetcher(pages), state).run(start)
@@ -150,3 +173,8 @@ def test_cli(spark, corpus, tmp_path):
     assert c.excludes == ("/a",) and not c.use_sitemap and c.strip_tracking
     corpus.write.parquet(str(tmp_path / "c"))
     assert cli.main(["https://x.com/", "--corpus", str(tmp_path / "c"), "--out", str(tmp_path / "o"), "--max-rounds", "2"]) == 0
+    assert {p.name for p in (tmp_path / "o").iterdir()} >= {"pages", "text", "files", "logs", "state"}
+    said = (tmp_path / "o" / "logs" / "crawl.log").read_text()
+    assert "Round 0" in said and "Duration" in said and "Texts: " in said
+    assert cli.main(["https://x.com/", "--corpus", str(tmp_path / "c"), "--out", str(tmp_path / "t"), "--layout", "files"]) == 0
+    assert (tmp_path / "t" / "x.com" / "files" / "f.pdf").read_text() == "same" and (tmp_path / "t" / "x.com" / "text" / "index.txt").exists() and (tmp_path / "t" / "x.com" / "pages" / "index.html").exists()
