@@ -8,7 +8,10 @@ equal tokens. A source that is used up begins again in another order, up to its
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +21,8 @@ from corpusloom.plans.storage import materialize
 GOLDEN = (math.sqrt(5) - 1) / 2
 #: Tokens of a block, rows that one task orders, and the most sources a table of targets may have.
 BLOCK, CHUNK, MOST_SOURCES = 4096, 50_000, 10_000
+#: A source with fewer blocks than this part of all has its slots spread evenly; the sequence takes those of the others.
+RARE = 1000
 
 
 def shares(targets: list[tuple[str, float, int]], available: dict[str, int], total: int | None = None) -> dict[str, int]:
@@ -89,25 +94,30 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, block: in
     # slots: enough for each source's blocks; a point beyond a source's need is dropped
     need = {s: -(-t // block) for s, t, *_ in plan}
     total_need = sum(need.values())
-    level, edges = 0, []
+    # a source of few blocks would need very many points until its last: it takes the slots of an even spread of its own
+    rare = {s: n for s, n in need.items() if n * RARE < total_need}
+    level, bands = 0, []
     for s in need:
-        edges.append((level / total_need, (level + need[s]) / total_need, s))
-        level += need[s]
+        if s not in rare:
+            level += need[s]
+            bands.append((level, s))
+    tops, of = np.array([t for t, _ in bands]) / level, [s for _, s in bands]
     # the sequence's discrepancy is at most about 3 ln(n) / n: so many points more reach every source's last block
-    points = total_need + int((8 + 4 * math.log(total_need + 1)) * max(total_need / n for n in need.values()))
-    x = F.col("slot") * F.lit(GOLDEN) + F.lit(0.5)
-    bands = F.broadcast(spark.createDataFrame([(a, b, s) for a, b, s in edges], "lo double, hi double, source string"))
-    if len(edges) <= 200:
-        pick = F.lit(None).cast("string")
-        for lo, hi, s in reversed(edges):
-            pick = F.when(F.col("x") < hi, F.lit(s)).otherwise(pick)
-        slots = spark.range(points).withColumnRenamed("id", "slot").withColumn("x", x - F.floor(x)).withColumn("source", pick).drop("x")
-    else:
-        slots = spark.range(points).withColumnRenamed("id", "slot").withColumn("x", x - F.floor(x)).join(bands, (F.col("x") >= F.col("lo")) & (F.col("x") < F.col("hi"))).select("slot", "source")
-    slots = slots.filter("source is not null").withColumn("one", F.lit(1)).withColumn("chunk", F.floor(F.col("slot") / CHUNK).cast("int"))
+    points = level + int((8 + 4 * math.log(level + 1)) * max(level / need[s] for s in of))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names_ = pa.array(of, pa.string())
+        for b in batches:
+            x = b.column(0).to_numpy() * GOLDEN + 0.5
+            yield pa.RecordBatch.from_arrays([b.column(0), names_.take(pa.array(np.minimum(np.searchsorted(tops, x - np.floor(x), "right"), len(of) - 1)))], names=["slot", "source"])
+
+    slots = spark.range(points).mapInArrow(pick, "slot long, source string").withColumn("one", F.lit(1)).withColumn("chunk", F.floor(F.col("slot") / CHUNK).cast("int"))
     ranked = running_sum(slots, ["source"], ["slot"], "one", "chunk", "rank").select("slot", "source", F.col("rank").cast("long").alias("rank"))
+    if rare:
+        even = spark.createDataFrame([(s, n) for s, n in rare.items()], "source string, n long").select("source", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("rank"))
+        ranked = ranked.unionByName(even.select(F.floor((F.col("rank") + 0.5) / F.col("n") * total_need).cast("long").alias("slot"), "source", "rank"))
     joined = blocks.join(ranked, ["source", "rank"])
-    return joined.withColumn("seq", (F.row_number().over(W.partitionBy("slot").orderBy("at", "id")) - 1).cast("int")).select("slot", "seq", F.col("id").alias(id_col), "source", F.col("copy_no").cast("int"), F.col("n").alias(size_col))
+    return joined.withColumn("seq", (F.row_number().over(W.partitionBy("slot").orderBy("source", "at", "id")) - 1).cast("int")).select("slot", "seq", F.col("id").alias(id_col), "source", F.col("copy_no").cast("int"), F.col("n").alias(size_col))
 
 
 def share_report(mixed: DataFrame, targets: DataFrame, size_col: str = "n_tokens", id_col: str = "doc_id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 Each line's documents are kept as compressed bitmaps per site, as containers of 32,768 ids: a sparse container is an array of 16-bit
 positions, a dense one a bitmap. The bitmaps of variants of a line (alike in their letters) are united, their exact cardinalities are held against
-the thresholds, and the lines whose document stands in the bitmap of a line above them are found or removed.
+the thresholds, and the lines whose document stands in the bitmap of a line above them are found or removed. A bitmap holds every document of its line, so a line is looked up by its key alone.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def line_bitmaps(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     lines: as of keyed_lines. wanted: (site, k1, k2, n_rows), n_rows the number of lines. First each variant gets its own
     containers, then those of all variants are united.
     """
-    at = lines.join(wanted, ["site", "k1", "k2"]).select("site", "k1", "k2", "variant", "n_rows", F.bitmap_bucket_number("id").alias("bucket"), F.bitmap_bit_position("id").alias("pos"))
+    at = sized_join(lines, wanted, ["site", "k1", "k2"], "inner").select("site", "k1", "k2", "variant", "n_rows", F.bitmap_bucket_number("id").alias("bucket"), F.bitmap_bit_position("id").alias("pos"))
     key = ["site", "k1", "k2", "bucket"]
     sparse = at.filter(F.col("n_rows") <= SPARSE).groupBy(*key, "variant").agg(F.collect_set(F.col("pos").cast("smallint")).alias("a"))
     sparse = sparse.groupBy(*key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("a")))).alias("positions"))

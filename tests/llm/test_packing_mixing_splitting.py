@@ -147,3 +147,37 @@ def test_with_tokens(spark):
     df = spark.createDataFrame([(1, "hello world", 5), (2, None, 5), (3, "", 5)], "id long, text string, n_tokens int")
     assert {r["id"]: r["n_tokens"] for r in with_tokens(df).collect()} == {1: 2, 2: 0, 3: 0}
     assert {r["id"]: r["n_tokens"] for r in with_tokens(df, skip_bytes=100).collect()} == {1: -11, 2: 0, 3: 0}
+
+
+def test_cut_points_are_the_best_of_all_boundaries():
+    """Against a plain dynamic program over every boundary, at a limit where a stretch holds many of one kind."""
+    rng = random.Random(5)
+    n, limit, overlap = 3000, 700, 40
+    offsets = list(range(n + 1))
+    ends = {i: rng.choice(["word"] * 6 + ["clause", "sentence", "line"]) for i in range(1, n) if rng.random() < 0.5}
+    got = splitting.cut_points(offsets, ends, limit, overlap)
+    step = limit - overlap
+    even = (n - overlap) / -(-(n - overlap) // step) + overlap
+    points = [*sorted(i for i in ends if i > overlap), n]
+    cost = {}
+    for e in points:
+        own = 0.0 if e == n else splitting.CUT_COST[ends[e]]
+        options = [((e - even) / limit) ** 2] if e <= limit else []
+        options += [cost[b] + ((e - b + overlap - even) / limit) ** 2 for b in points if e - step <= b < e and b in cost]
+        if options:
+            cost[e] = own + min(options)
+    mine = sum(((b - a - even) / limit) ** 2 for a, b in got) + sum(splitting.CUT_COST[ends[b]] for _, b in got[:-1])
+    assert abs(mine - cost[n]) < 1e-9 and all(b - a <= limit for a, b in got) and all(c == b - overlap for (_, b), (c, _) in zip(got, got[1:]))
+
+
+def test_mix_of_many_and_rare_sources(spark):
+    """More sources than a chain of conditions could hold, and one of a single block beside them: every block gets a slot, shares hold within a block."""
+    names_ = [f"s{i}" for i in range(300)]
+    docs = spark.createDataFrame([(i * 1000 + k, s, 10) for i, s in enumerate(names_) for k in range(40)] + [(999_999, "rare", 10)], "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([(s, 1.0, 1) for s in names_] + [("rare", 0.0001, 1)], "source string, target_share double, max_repeats int")
+    got = mixing.mix(docs, targets, block=10).collect()
+    assert len({(r["slot"], r["seq"]) for r in got}) == len(got) and len(got) >= 300 * 39
+    per = {}
+    for r in got:
+        per[r["source"]] = per.get(r["source"], 0) + r["n_tokens"]
+    assert set(per) >= set(names_) and max(per[s] for s in names_) - min(per[s] for s in names_) <= 10
