@@ -244,3 +244,12 @@ def test_queries_against_sql(spark):
 def test_queries_run(spark, name):
     df = QUERIES[name](spark, SMALL)
     assert df.count() >= 0 and df.columns
+
+
+def test_language_does_not_depend_on_order():
+    """What a line gets, its confidence too, doesn't depend on the lines before it."""
+    texts = [t for (t,) in duckdb.sql(f"SELECT extracted_text FROM '{DATA}/text_out.parquet' WHERE extracted_text IS NOT NULL ORDER BY text_id").fetchall()]
+    labels = [x for (x,) in duckdb.sql(f"SELECT lang FROM '{DATA}/text_out.parquet' WHERE extracted_text IS NOT NULL ORDER BY text_id").fetchall()]
+    trained = language.build([(k, t) for lang, t in zip(labels, texts) if (k := language.label_language(lang))])
+    ahead, back = language.Classifier(*trained).texts(texts), language.Classifier(*trained).texts(texts[::-1])[::-1]
+    assert ahead == back and [language.Classifier(*trained).text(t) for t in texts[:20]] == ahead[:20]
