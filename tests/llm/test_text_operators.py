@@ -253,3 +253,18 @@ def test_language_does_not_depend_on_order():
     trained = language.build([(k, t) for lang, t in zip(labels, texts) if (k := language.label_language(lang))])
     ahead, back = language.Classifier(*trained).texts(texts), language.Classifier(*trained).texts(texts[::-1])[::-1]
     assert ahead == back and [language.Classifier(*trained).text(t) for t in texts[:20]] == ahead[:20]
+
+
+def test_residue_broadcasts_no_side_that_grows_with_the_records(spark, monkeypatch):
+    """Records with content are as many as records: the driver mustn't hold them, and the rows are the same."""
+    from corpusloom.plans import joins
+
+    sides = []
+    monkeypatch.setattr(joins.F, "broadcast", lambda df, to=joins.F.broadcast: sides.append(df.count()) or to(df))
+    # 30,000 records of a line of their own, and 20 under different urls with nothing but one message
+    n = spark.range(30_020).select(F.lit("text").alias("kind"), "id", F.concat(F.lit("s"), F.col("id") % 50).alias("site"), F.concat(F.lit("u"), "id").alias("url"))
+    own = F.when(F.col("id") >= 30_000, F.lit(7).cast("long")).otherwise(F.xxhash64("id"))
+    rest = [F.lit(30 if c == "letters" else 0).alias(c) for c in "letters words func recur links cls sent".split()]
+    table = n.select("*", F.lit(0).alias("no"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("masked"), *rest).unionByName(n.select("*", F.lit(1).alias("no"), own.alias("key"), own.alias("masked"), *rest))
+    assert {r["record_id"] for r in residue.residue(table).collect()} == set(range(30_000, 30_020))
+    assert sides and max(sides) <= 20_000
