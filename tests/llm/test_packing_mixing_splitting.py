@@ -181,3 +181,14 @@ def test_mix_of_many_and_rare_sources(spark):
     for r in got:
         per[r["source"]] = per.get(r["source"], 0) + r["n_tokens"]
     assert set(per) >= set(names_) and max(per[s] for s in names_) - min(per[s] for s in names_) <= 10
+
+
+def test_found_documents_are_those_that_the_splitter_cuts(spark):
+    from corpusloom.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    found = queries.p10_found(spark, folder)
+    assert "piece_no" in found._jdf.queryExecution().toString()
+    most = queries.limit_of(spark, folder, "piece")[0]
+    want = sorted(r["doc_id"] for r in splitting.oversized(spark.read.parquet(f"{folder}/documents.parquet"), most).collect())
+    assert want and sorted(r["doc_id"] for r in found.collect()) == want
