@@ -268,3 +268,9 @@ def test_residue_broadcasts_no_side_that_grows_with_the_records(spark, monkeypat
     table = n.select("*", F.lit(0).alias("no"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("masked"), *rest).unionByName(n.select("*", F.lit(1).alias("no"), own.alias("key"), own.alias("masked"), *rest))
     assert {r["record_id"] for r in residue.residue(table).collect()} == set(range(30_000, 30_020))
     assert sides and max(sides) <= 20_000
+
+
+def test_languages_of_texts_of_residue_or_spam_are_not_judged(spark):
+    odd = {r["record_id"] for q in ("p6_found", "p7_found") for r in QUERIES[q](spark, DATA).collect() if r["record_kind"] == "text"}
+    found = {r["text_id"] for r in QUERIES["p3_found"](spark, DATA).collect()}
+    assert odd and found and not odd & found
