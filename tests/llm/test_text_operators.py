@@ -274,3 +274,24 @@ def test_languages_of_texts_of_residue_or_spam_are_not_judged(spark):
     odd = {r["record_id"] for q in ("p6_found", "p7_found") for r in QUERIES[q](spark, DATA).collect() if r["record_kind"] == "text"}
     found = {r["text_id"] for r in QUERIES["p3_found"](spark, DATA).collect()}
     assert odd and found and not odd & found
+
+
+def test_line_table_computes_only_what_it_needs(spark):
+    """Blocks without the tree around them, letters and masks without a regular expression: the same as with."""
+    import re
+    from unittest import mock
+
+    from corpusloom.llm import html, lines
+
+    pages = [x for (x,) in duckdb.sql(f"SELECT content FROM '{SMALL}/pages.parquet' WHERE content IS NOT NULL").fetchall()]
+    for x in [*pages, "a <b <p class=x>c<br>d & e</p>< <a href=x>f</a>"]:
+        with mock.patch.object(html, "_ROLE", re.compile("$.")), mock.patch.object(html, "_CLASS", None):  # a search for a class fails
+            lean = html.blocks(x, around=False)
+        assert [b[:3] for b in lean] == [b[:3] for b in html.blocks(x)]
+    words = re.compile(r"[^\W\d_]+")
+    for low in ["a-b_c1d  e", "", "été 12 x²½", "ref [ab c] [x] [] [ /a/b 1a a1b q", "\x1c٣ a\x85b/ c", "12/3 [x]y [x"]:
+        assert lines.letter_runs(low) == words.findall(low)
+        kept = [t for t in low.split() if t.isalpha() or not (t[0] == "/" or (t[0] == "[" and t[-1] == "]") or set(t) & set("0123456789"))]
+        assert lines.mask(low, "") == " ".join(words.findall(" ".join(kept)))
+    rows = [("Lorem ipsum dolor novum",), ("<p>LOREM IPSUM novum</p>",), ("loremx ipsumx",), (None,), ("ipsum\nlorem amet novum veritas",)]
+    assert lines.filler_words(spark.createDataFrame(rows, "body string")) - lines.FILLER_SEEDS == {"novum"}
