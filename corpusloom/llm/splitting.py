@@ -21,6 +21,8 @@ from corpusloom.llm.tokens import VOCABULARY, counter, encoder, with_tokens
 
 #: The penalty of a cut by its kind. A size imbalance of the whole limit costs 1.
 CUT_COST = {"paragraph": 0.0, "line": 0.15, "sentence": 0.3, "clause": 0.8, "word": 1.5, "token": 4.0}
+#: Places that are taken at once.
+BLOCK = 128
 _KINDS = [("paragraph", re.compile(r"\n[ \t\r]*\n\s*")), ("line", re.compile(r"\n")), ("sentence", re.compile(r"[.!?…]+[\"'”’»)\]]*\s+|[。！？]+[」』”’）]*")), ("clause", re.compile(r"[,;:]\s+|[，、；：]")), ("word", re.compile(r"\s+"))]
 
 
@@ -64,20 +66,10 @@ def cut_points(offsets: list[int], ends: dict[int, str], limit: int, overlap: in
     points = sorted(i for i in cuts if overlap < i < n or i >= 1 and overlap == 0 and i < n)
     pieces = -(-(n - overlap) // step)
     even = (n - overlap) / pieces + overlap
-    # cost[k]: least cost of pieces that cover the tokens up to points[k], over all boundaries
+    # the least cost of pieces that cover the tokens up to each point, over all boundaries
     own = np.array([cuts[i] for i in points] + [0.0])
     at = np.array([*points, n])
-    cost, back = np.full(len(at), np.inf), np.full(len(at), -1)
-    first = np.searchsorted(at, at - step)
-    for k, e in enumerate(at.tolist()):
-        least, j = (((e - even) / limit) ** 2, -1) if e <= limit else (np.inf, -1)
-        lo = first[k]
-        if lo < k:
-            c = cost[lo:k] + ((e - at[lo:k] + overlap - even) / limit) ** 2
-            i = int(c.argmin())
-            if c[i] < least:
-                least, j = c[i], lo + i
-        cost[k], back[k] = own[k] + least, j
+    back = _least(at, own, limit, overlap, even)
     out, k = [], len(at) - 1
     while k >= 0:
         j = int(back[k])
@@ -86,6 +78,51 @@ def cut_points(offsets: list[int], ends: dict[int, str], limit: int, overlap: in
     return out[::-1]
 
 
+def _least(at: np.ndarray, own: np.ndarray, limit: int, overlap: int, even: float) -> np.ndarray:
+    """For each place ``at`` with its cost ``own``, the number of the cut before it in the cheapest division up to it, or -1 if it ends the first piece.
+
+    Places are taken in blocks that are short against a piece. A cut before the block counts only if its cost alone isn't above what some cut gives for all of the block, so those
+    left out can't be the best for any place. A cut within the block would make a piece of at most the block's length; if the size of such a piece might pay, the block is done place by place.
+    Either way the result is that of trying every cut within a piece's length.
+    """
+    step = limit - overlap
+    cost, back = np.full(len(at), np.inf), np.full(len(at), -1)
+    first = np.searchsorted(at, at - step)
+    alone = np.where(at <= limit, ((at - even) / limit) ** 2, np.inf)
+    start = 0
+    while start < len(at):
+        end = min(start + BLOCK, int(np.searchsorted(at, at[start] + step // 8, "right")))
+        lo, last = first[start], first[end - 1]
+        e, best, j = at[start:end], alone[start:end].copy(), np.full(end - start, -1)
+        if last < start:
+            i = last + int((cost[last:start] + ((at[end - 1] - at[last:start] + overlap - even) / limit) ** 2).argmin())
+            most = np.minimum(best, cost[i] + ((e - at[i] + overlap - even) / limit) ** 2).max()
+            near = lo + (cost[lo:start] <= most).nonzero()[0]
+            if len(near):
+                c = cost[near] + ((e[:, None] - at[near] + overlap - even) / limit) ** 2
+                c[near < first[start:end, None]] = np.inf
+                i = c.argmin(axis=1)
+                least = c[np.arange(end - start), i]
+                j = np.where(least < best, near[i], j)
+                best = np.minimum(least, best)
+        # the least that a cut within the block could give: a piece of the block's length is nearest to an even share, unless it's longer
+        short = even - overlap - float(at[end - 1] - at[start])
+        before = np.minimum.accumulate(best + own[start:end])[:-1]
+        if short > 0 and (before + (short / limit) ** 2 > best[1:] + 1e-9).all():
+            cost[start:end], back[start:end] = own[start:end] + best, j
+        else:
+            for k in range(start, end):
+                least, j = alone[k], -1
+                if (lo := first[k]) < k:
+                    c = cost[lo:k] + ((at[k] - at[lo:k] + overlap - even) / limit) ** 2
+                    i = int(c.argmin())
+                    if c[i] < least:
+                        least, j = c[i], lo + i
+                cost[k], back[k] = own[k] + least, j
+        start = end
+    return back
+
+
 @lru_cache(maxsize=2)
 def _shapes(vocabulary: str) -> tuple[np.ndarray, np.ndarray]:
     """For each token: how many characters begin in it, and whether it begins inside one."""
