@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -217,13 +218,16 @@ class Classifier:
         return main, min(1.0, conf), [(no, lang or main, c, t) for no, lang, c, t in rows]
 
 
-def build(sample: list[tuple[str, str]], size: int = DICTIONARY) -> tuple[dict[str, bytes]]:
-    """What a ``Classifier`` is made of, the dictionaries alone, from (language, text) pairs, whose labels are mostly right.
+def build(sample: list[tuple[str, str]], size: int = DICTIONARY, totals: dict[str, int] | None = None) -> tuple[dict[str, bytes]]:
+    """What a ``Classifier`` is made of, the dictionaries alone, from (language, text) pairs, whose labels are mostly right. ``totals``: the number of texts of each label that the pairs were drawn from.
 
-    A line (its letters) that stands under several labels goes to the one where it is most frequent: a site's own lines stand in texts of all languages. Then the
+    A line (its letters) that stands under several labels goes to the one where it is most frequent among all texts, by what the pairs of each label stand for: a site's own lines stand in texts of
+    all languages, and in a larger share of those of rare ones, which are all in the sample. Then the
     lines are judged by dictionaries made of the other half of them, twice, and those that another language compresses
     better are dropped, unless they stand in three texts or more, mostly of one label: then they are known by that. Each dictionary begins with the language's own seed sentences.
     """
+    drawn = Counter(lang for lang, _ in sample)
+    weight = {x: max(1.0, (totals or drawn).get(x, 0) / n) for x, n in drawn.items()}
     script_of = dict.fromkeys(_LATIN, 1) | {"el": 2, "ru": 3, "uk": 3, "ja": 4, "zh": 5}
     seen: dict[str, dict[str, int]] = {}
     form: dict[str, str] = {}
@@ -236,10 +240,14 @@ def build(sample: list[tuple[str, str]], size: int = DICTIONARY) -> tuple[dict[s
                 own = seen.setdefault(key, {})
                 own[lang] = own.get(lang, 0) + 1
     pool: dict[str, list[str]] = {x: [] for x in LANGUAGES}
-    often = {form[key]: max(own.values()) for key, own in seen.items()}
-    firm = {form[key] for key, own in seen.items() if (top := max(own.values())) >= 3 and top >= 0.6 * sum(own.values())}
+    often, firm = {}, set()
     for key, own in seen.items():
-        pool[max(sorted(own), key=lambda x: own[x])].append(form[key])
+        stands = {x: n * weight[x] for x, n in own.items()}
+        top = max(sorted(own), key=lambda x: stands[x])
+        pool[top].append(form[key])
+        often[form[key]] = own[top]
+        if own[top] >= 3 and stands[top] >= 0.6 * sum(stands.values()):
+            firm.add(form[key])
 
     def pack(lines: list[str], lang: str) -> bytes:
         out, total = [], 0
@@ -292,7 +300,7 @@ def excerpt(text: str, size: int = EXCERPT) -> str:
 
 
 def train(texts: DataFrame, id_col: str = "text_id", text_col: str = "extracted_text", label_col: str = "lang") -> tuple[dict[str, bytes]]:
-    """Dictionaries, as of ``build``, from a bounded sample: of each label the ``SAMPLE`` texts of the smallest hash, of each an ``excerpt``. It is all that comes to the driver."""
+    """Dictionaries, as of ``build``, from a bounded sample: of each label the ``SAMPLE`` texts of the smallest hash, of each an ``excerpt``. They and the number of texts of each label are all that comes to the driver."""
     t = texts.select(F.xxhash64(id_col).alias("h"), label_column(F.col(label_col)).alias("l"), F.col(text_col).alias("t")).filter("l is not null and t is not null")
     top = t.withColumn("r", F.row_number().over(W.partitionBy("l").orderBy("h", F.xxhash64("t")))).filter(F.col("r") <= SAMPLE).select("l", "t", "h")
 
@@ -301,7 +309,8 @@ def train(texts: DataFrame, id_col: str = "text_id", text_col: str = "extracted_
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([excerpt(x) for x in b.column(1).to_pylist()], pa.string()), b.column(2)], names=["l", "t", "h"])
 
     rows = top.mapInArrow(run, "l string, t string, h long").collect()
-    return build([(r["l"], r["t"]) for r in sorted(rows, key=lambda r: (r["l"], r["h"], r["t"]))])
+    totals = {r["l"]: r["n"] for r in t.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    return build([(r["l"], r["t"]) for r in sorted(rows, key=lambda r: (r["l"], r["h"], r["t"]))], totals=totals)
 
 
 def classify(texts: DataFrame, trained: tuple[dict[str, bytes]], id_col: str = "text_id", text_col: str = "extracted_text", label_col: str = "lang", mend: Callable | None = None) -> DataFrame:

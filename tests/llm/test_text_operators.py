@@ -295,3 +295,26 @@ def test_line_table_computes_only_what_it_needs(spark):
         assert lines.mask(low, "") == " ".join(words.findall(" ".join(kept)))
     rows = [("Lorem ipsum dolor novum",), ("<p>LOREM IPSUM novum</p>",), ("loremx ipsumx",), (None,), ("ipsum\nlorem amet novum veritas",)]
     assert lines.filler_words(spark.createDataFrame(rows, "body string")) - lines.FILLER_SEEDS == {"novum"}
+
+
+def test_rare_labels_dont_take_a_sites_line(spark, monkeypatch):
+    """All texts of a rare label are in the sample and few of a frequent one, so a site's line may stand in more texts of the rare label there, and in fewer among all."""
+    monkeypatch.setattr(language, "SAMPLE", 40)
+    line = "Your privacy matters to us: choose which cookies you accept"
+
+    def text(lang: str, k: int) -> str:
+        words = language.SEEDS[lang].split()
+        return " ".join(words[(k * 7 + j * (1 + k % 5)) % len(words)] for j in range(30)) + f"\n{line if (k % 4 == 0 if lang == 'en' else k % 5 < 3) else ''}"
+
+    rows = [(k, "en", text("en", k)) for k in range(400)] + [(1000 + k, "sv", text("sv", k)) for k in range(40)]
+    assert sum(line in r[2] for r in rows[:400]) == 100 and sum(line in r[2] for r in rows[400:]) == 24
+    lang, confidence = language.Classifier(*language.train(spark.createDataFrame(rows, "text_id long, lang string, extracted_text string"))).line(line, 1)
+    assert lang == "en" and confidence >= language.NARROW
+
+
+def test_line_table_holds_hashes_of_places(spark):
+    rows = [("text", 1, "a.net", "http://a.net/1"), ("text", 2, "a.net", "http://a.net/2"), ("page", 3, None, None), ("page", 4, "", "")]
+    table = lines.record_lines(spark.createDataFrame([(*r, "Some words of a body") for r in rows], "record_kind string, record_id long, site string, url string, body string"))
+    assert dict(table.dtypes)["site"] == dict(table.dtypes)["url"] == "bigint"
+    at = {r["id"]: (r["site"], r["url"]) for r in table.filter("no = 0").collect()}
+    assert at[1][0] == at[2][0] != at[3][0] and at[1][1] != at[2][1] and at[3] == at[4]
